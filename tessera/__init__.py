@@ -1,0 +1 @@
+"""Document analytics and retrieval as Spark plans."""
