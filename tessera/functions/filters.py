@@ -126,7 +126,10 @@ class VariantField(Field):
     """A key of a VARIANT column."""
 
     def __init__(self, custom: str, key: str):
-        path = "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        quote = '"' if "'" in key else "'"
+        if quote in key or "]" in key:
+            raise ValueError(f"no path can name {key!r}")
+        path = f"$[{quote}{key}{quote}]"
         self.value = F.variant_get(custom, path, "variant")
         self.kind = F.schema_of_variant(self.value)
         self.read = lambda kind: F.try_variant_get(custom, path, kind)
