@@ -6,7 +6,9 @@ batches of queries go through numpy matrix products and keep k rows for each tas
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
 from tessera.functions.filters import Fields, Filter, compile_filter
-from tessera.functions.text import tokenize
+from tessera.functions.text import STOP_WORDS, term_frequency, tokenize
 
 K1, B = 1.2, 0.75
 #: Rows of queries that are sent to all workers at most; a larger batch is searched in several passes.
@@ -80,17 +82,21 @@ def _one_batch(embeddings: DataFrame, asked: pa.Table, limit: int, id_: str, vec
 
 
 class BM25:
-    """An inverted index as tables: lengths (id, length) and postings (id, term, tf)."""
+    """An inverted index as tables: lengths (id, length) and postings (id, term, tf).
 
-    def __init__(self, lengths: DataFrame, postings: DataFrame, id_: str):
-        self.lengths, self.postings, self.id = lengths, postings, id_
+    An index just built still knows its tokens (id, tokens); searches then read the texts in two passes without a
+    shuffle. One that is written is searched by its postings, of which only the row groups of the terms are read.
+    """
+
+    def __init__(self, lengths: DataFrame, postings: DataFrame, id_: str, tokens: DataFrame | None = None):
+        self.lengths, self.postings, self.id, self.tokens = lengths, postings, id_, tokens
 
     @staticmethod
     def build(chunks: DataFrame, id_: str = "chunk_id", content: str = "content", min_length: int = 3, stop_words: bool = True) -> BM25:
         tokens = chunks.select(id_, tokenize(F.col(content), min_length, stop_words).alias("tokens"))
         lengths = tokens.select(id_, F.size("tokens").alias("length"))
         postings = tokens.select(id_, F.explode("tokens").alias("term")).groupBy(id_, "term").agg(F.count("*").alias("tf"))
-        return BM25(lengths, postings, id_)
+        return BM25(lengths, postings, id_, tokens)
 
     def persist(self) -> BM25:
         return BM25(self.lengths.persist(), self.postings.persist(), self.id)
@@ -106,7 +112,8 @@ class BM25:
         return BM25(spark.read.parquet(f"{folder}/lengths"), spark.read.parquet(f"{folder}/postings"), id_)
 
     def without(self, ids: DataFrame) -> BM25:
-        return BM25(self.lengths.join(ids, self.id, "left_anti"), self.postings.join(ids, self.id, "left_anti"), self.id)
+        left = lambda rows: rows.join(ids.select(self.id), self.id, "left_anti")
+        return BM25(left(self.lengths), left(self.postings), self.id, None if self.tokens is None else left(self.tokens))
 
     def replaced(self, other: BM25) -> BM25:
         """This index with all rows of other, which come in the place of those with the same ids."""
@@ -116,27 +123,54 @@ class BM25:
     def document_frequencies(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
-    def search(self, query: str | Column, limit: int = 5, where: DataFrame | None = None, min_length: int = 3, stop_words: bool = True) -> DataFrame:
+    def search(self, query: str, limit: int = 5, where: DataFrame | None = None, min_length: int = 3, stop_words: bool = True) -> DataFrame:
         """(id, score): terms of query count as often as they are in it; where: ids that may be returned. The weights
         are those of the whole index."""
-        return self._scored(query, where, min_length, stop_words).orderBy(F.desc("score"), self.id).limit(_checked(limit))
-
-    def _scored(self, query: str | Column, where: DataFrame | None, min_length: int, stop_words: bool) -> DataFrame:
-        spark = self.lengths.sparkSession
-        text = F.lit(query) if isinstance(query, str) else query
-        terms = spark.range(1).select(F.explode(tokenize(text, min_length, stop_words)).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-        hits = self.postings.join(F.broadcast(terms), "term")  # the terms of one query
-        # df of the query's terms only, from the same rows
-        weights = hits.groupBy("term").agg(F.count("*").alias("df"))
+        return self.scored(query, where, min_length, stop_words).orderBy(F.desc("score"), self.id).limit(_checked(limit))
+
+    def scored(self, query: str, where: DataFrame | None = None, min_length: int = 3, stop_words: bool = True) -> DataFrame:
+        """search without a limit: all that hold a term."""
+        times = Counter(query_terms(query, min_length, stop_words))
+        rows = self._by_postings(times) if self.tokens is None else self._by_tokens(times)
+        return rows if where is None else rows.join(where.select(self.id), self.id, "left_semi")
+
+    def _by_tokens(self, times: Mapping[str, int]) -> DataFrame:
+        terms = list(times) or [""]
+        found = self.tokens.select(self.id, F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(*terms)).alias("found"))
+        tf = [term_frequency(F.lit(w), F.col("found")) for w in terms]
+        known = [F.sum((x > 0).cast("bigint")).alias(f"df{i}") for i, x in enumerate(tf)]
+        whole = found.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg("length"), F.lit(0.0))).alias("mean"), *known)
+        rows = found.where(F.size("found") > 0).crossJoin(F.broadcast(whole))  # one row
+        score = sum((F.lit(times.get(w, 0)) * _part(x, F.col(f"df{i}")) for i, (w, x) in enumerate(zip(terms, tf, strict=True))), F.lit(0.0))
+        return rows.select(self.id, score.alias("score"))
+
+    def _by_postings(self, times: Mapping[str, int]) -> DataFrame:
+        hits = self.postings.where(F.col("term").isin(*times) if times else F.lit(False))
+        known = hits.groupBy("term").agg(F.count("*").alias("df"))
         whole = self.lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg("length"), F.lit(0.0))).alias("mean"))
-        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        weighted = weights.crossJoin(F.broadcast(whole)).select("term", idf.alias("idf"), "mean")
-        rows = hits.join(F.broadcast(weighted), "term").join(self.lengths, self.id)
-        if where is not None:
-            rows = rows.join(where.select(self.id), self.id, "left_semi")
-        tf = F.col("tf")
-        part = F.col("times") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-        return rows.groupBy(self.id).agg(F.sum(part).alias("score"))
+        # a row for each term of the query
+        weighted = F.broadcast(known.crossJoin(F.broadcast(whole)))
+        rows = hits.join(weighted, "term").join(self.lengths, self.id)
+        return rows.groupBy(self.id).agg(F.sum(_times(times) * _part(F.col("tf"), F.col("df"))).alias("score"))
+
+
+def _times(times: Mapping[str, int]) -> Column:
+    out = F.lit(0)
+    for term, n in times.items():
+        out = F.when(F.col("term") == term, n).otherwise(out)
+    return out
+
+
+def _part(tf: Column, df: Column) -> Column:
+    """A term's share of a score; needs n, mean and length."""
+    idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
+    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+
+
+def query_terms(query: str, min_length: int = 3, stop_words: bool = True) -> list[str]:
+    """The terms of a query, by the rule of functions.text.tokenize."""
+    words = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in query.lower()).split(" ")
+    return [w for w in words if len(w) >= max(1, min_length) and not (stop_words and w in STOP_WORDS)]
 
 
 def merge_queries(results: DataFrame, limit: int = 5, id_: str = "chunk_id") -> DataFrame:

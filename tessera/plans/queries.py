@@ -341,7 +341,7 @@ def rerank_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("multi_index_search", f"WITH {POSTINGS}, {bm25_sql('hits', ASKED, None)} SELECT * FROM (SELECT lang, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id)::INT AS rank FROM hits JOIN documents USING (doc_id)) WHERE rank <= 3")
 def multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = _index(spark, sf_dir)._scored(ASKED, None, 3, True).join(docs.select("doc_id", "lang"), "doc_id")
+    found = _index(spark, sf_dir).scored(ASKED).join(docs.select("doc_id", "lang"), "doc_id")
     return retrieval.multi_index(found, "lang", 3, "doc_id").select("lang", "doc_id", rounded("score").alias("score"), "rank")
 
 

@@ -40,6 +40,9 @@ def test_bm25(spark, tmp_path):
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
     assert index.search("Swift programming").first().chunk_id == "1"
     stored = index.write(str(tmp_path))
+    for q in ("Swift programming", "programming programming data", "absent", ""):
+        got, want = ({r.chunk_id: r.score for r in x.search(q, 10).collect()} for x in (stored, index))
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
     assert stored.search("programming").count() == 2
     assert stored.without(chunks(spark, CHUNKS[:1]).select("chunk_id")).search("programming", 5).count() == 1
     new = retrieval.BM25.build(chunks(spark, [("2", "swift swift")]))
@@ -49,6 +52,14 @@ def test_bm25(spark, tmp_path):
         index.search("x", 0)
 
 
+@pytest.mark.parametrize("text", ["Café: résumé—naïve x²", "a_b c-d e.f", "中文 字 12ab", "İstanbul the THE", ""])
+def test_query_terms_follow_the_tokens(spark, text):
+    from tessera.functions.text import tokenize
+
+    for stop in (True, False):
+        assert retrieval.query_terms(text, 2, stop) == spark.createDataFrame([(text,)], "t string").select(tokenize(F.col("t"), 2, stop)).first()[0]
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "chunk_id string, vector array<float>")
 
