@@ -70,8 +70,9 @@ class ParquetStore:
     A change writes a new version and then moves the pointer, so readers see the old or the new rows, never a mix.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, dimensions: int | None = None, id_: str = "chunk_id"):
-        self.spark, self.folder, self.dimensions, self.id = spark, folder.rstrip("/"), dimensions, id_
+    def __init__(self, spark: SparkSession, folder: str, dimensions: int | None = None, id_: str = "chunk_id", most: int | None = None):
+        """most: rows that the store may hold, any number by default."""
+        self.spark, self.folder, self.dimensions, self.id, self.most = spark, folder.rstrip("/"), dimensions, id_, most
 
     def _fs(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -101,7 +102,10 @@ class ParquetStore:
     def add(self, rows: DataFrame) -> None:
         self.dimensions = check(rows, self.dimensions, id_=self.id)
         existing = self.read()
-        self._write(rows.dropDuplicates([self.id]) if existing is None else upsert(existing, rows, self.id))
+        wanted = rows.dropDuplicates([self.id]) if existing is None else upsert(existing, rows, self.id)
+        if self.most is not None and (n := wanted.count()) > self.most:
+            raise InvalidRows(f"{n} rows are more than the {self.most} that the store may hold")
+        self._write(wanted)
 
     def delete(self, ids: DataFrame) -> None:
         if (existing := self.read()) is not None:
@@ -132,3 +136,52 @@ class ParquetStore:
             self._write(existing.limit(0))
 
 
+
+
+def save_json(chunks: DataFrame, embeddings: DataFrame, folder: str) -> None:
+    """Both tables as JSON lines."""
+    chunks.write.mode("overwrite").json(f"{folder}/chunks")
+    embeddings.write.mode("overwrite").json(f"{folder}/embeddings")
+
+
+def load_json(spark: SparkSession, folder: str, chunk_schema: str, embedding_schema: str, id_: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
+    """What save_json wrote; raises if a chunk lacks its embedding or the other way round."""
+    chunks, embeddings = spark.read.schema(chunk_schema).json(f"{folder}/chunks"), spark.read.schema(embedding_schema).json(f"{folder}/embeddings")
+    if bad := orphans(chunks, embeddings, id_).head(3):
+        raise InvalidRows(f"rows without their counterpart, such as {[tuple(r) for r in bad]}")
+    return chunks, embeddings
+
+
+class Memory:
+    """A namespace of a store, as an agent's memory: ids carry the namespace, and a search sees only its rows."""
+
+    def __init__(self, store: ParquetStore, namespace: str, most: int = 100_000):
+        self.store, self.namespace, self.most = store, namespace, most
+
+    def _own(self) -> DataFrame | None:
+        rows = self.store.read()
+        return None if rows is None else rows.where(F.col("document_id") == self.namespace)
+
+    def count(self) -> int:
+        rows = self._own()
+        return 0 if rows is None else rows.count()
+
+    def add(self, rows: DataFrame) -> None:
+        """rows: chunk_id, content, vector."""
+        if self.count() + rows.count() > self.most:
+            raise InvalidRows(f"a memory holds at most {self.most} rows")
+        self.store.add(rows.withColumn("chunk_id", F.concat(F.lit(f"{self.namespace}_"), F.col("chunk_id").cast("string"))).withColumn("document_id", F.lit(self.namespace)))
+
+    def search(self, query: list[float], limit: int = 5, min_score: float | None = None) -> DataFrame | None:
+        from tessera.operators.retrieval import vector_topk
+
+        if min_score is not None and not abs(min_score) < float("inf"):
+            raise ValueError("min_score must be finite")
+        rows = self._own()
+        if rows is None:
+            return None
+        plain = rows.withColumn("chunk_id", F.expr(f"substring(chunk_id, {len(self.namespace) + 2})"))
+        return vector_topk(plain, query, limit, threshold=min_score)
+
+    def clear(self) -> None:
+        self.store.delete_where(F.col("document_id") == self.namespace)

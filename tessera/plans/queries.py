@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import filters as flt
+from tessera.functions import metadata as M
 from tessera.functions import text as T
 from tessera.functions import vector as V
 from tessera.functions.embed import embed_cached
@@ -517,3 +518,42 @@ def ingest_rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: rates in tumbling windows, as the stream has them."""
     events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("batch_numbers", "SELECT doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 7)::BIGINT AS batch FROM documents")
+def batch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.batches(documents(spark, sf_dir), 7, "doc_id", "source").select("doc_id", "batch")
+
+
+@query("cache_hit_rate", "SELECT round((count(text) - count(DISTINCT text)) / count(text)::DOUBLE, 6) AS hit_rate FROM documents")
+def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a cache of embeddings by text, over the documents in turn."""
+    seen = documents(spark, sf_dir).agg(F.count("content").alias("n"), F.count_distinct("content").alias("misses"))
+    return seen.select(rounded(M.hit_rate(F.col("n") - F.col("misses"), F.col("misses"))).alias("hit_rate"))
+
+
+@query("flatten_metadata", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def flatten_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", F.element_at(M.flattened(F.col("props")), "k").alias("k"))
+
+
+@query("retrieve_namespaced", f"WITH {SCORED} SELECT vec_id, round(score, 6) AS score FROM scored WHERE label = 2 ORDER BY scored.score DESC, vec_id LIMIT 5")
+def retrieve_namespaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An agent's memory: the label as namespace."""
+    own = _embeddings(spark, sf_dir).where("label = 2")
+    return retrieval.vector_topk(own, _first(spark, sf_dir), 5, "vec_id", "embedding").select("vec_id", rounded("score").alias("score"))
+
+
+@query("sentence_windows", "SELECT conv_id, turn, string_agg(text, ' ') OVER w AS text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) QUALIFY count(*) OVER w = 3")
+def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding windows of three parts of a document, here turns of a conversation, short tails left out."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(0, 2)
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.collect_list("text").over(w).alias("parts"))
+    return rows.where(F.size("parts") == 3).select("conv_id", "turn", F.array_join("parts", " ").alias("text"))
+
+
+@query("breakpoint_groups", "SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS part FROM conversations")
+def breakpoint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running number of breaks as group, here a break at each user turn."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum((F.col("role") == "user").cast("int")).over(w).alias("part"))

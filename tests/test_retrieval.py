@@ -201,3 +201,54 @@ def test_token_bucket(spark):
     df = spark.createDataFrame(rows, "event_id long, user string, t string").withColumn("ts", F.to_timestamp("t"))
     got = tenancy.replay_rate_limit(df, "user", "ts", "event_id", 2, 1.0).orderBy("event_id").collect()
     assert [r.allowed for r in got] == [True, True, False, True, True, True, False]
+
+
+def test_inverted_file(spark, tmp_path):
+    from tessera.operators.ann import IVF
+
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(12, 16))
+    rows = [(f"{i:04}", centers[i % 12] + 0.2 * rng.normal(size=16)) for i in range(900)]
+    df = vectors(spark, rows)
+    ivf = IVF.build(df, str(tmp_path), lists=12)
+    hits = 0
+    for i in range(0, 900, 90):
+        exact = {r.chunk_id for r in retrieval.vector_topk(df, list(rows[i][1]), 10).collect()}
+        hits += len(exact & {r.chunk_id for r in ivf.search(list(rows[i][1]), 10, probes=3).collect()})
+    assert hits >= 90 and ivf.search(list(rows[0][1]), 900, probes=12).count() == 900
+
+
+def test_limits_json_and_memory(spark, tmp_path):
+    df = vectors(spark, [("a", [1, 0]), ("b", [0, 1])])
+    with pytest.raises(store.InvalidRows):
+        store.ParquetStore(spark, str(tmp_path / "small"), most=1).add(df)
+    kinds = "chunk_id string, content string", "chunk_id string, vector array<float>"
+    texts = chunks(spark, [("a", "x"), ("b", "y")])
+    store.save_json(texts, df, str(tmp_path / "json"))
+    back = store.load_json(spark, str(tmp_path / "json"), *kinds)
+    assert sorted(back[1].collect()) == sorted(df.collect())
+    store.save_json(texts, df.limit(1), str(tmp_path / "json"))
+    with pytest.raises(store.InvalidRows):
+        store.load_json(spark, str(tmp_path / "json"), *kinds)
+    s = store.ParquetStore(spark, str(tmp_path / "memory"))
+    one, two = store.Memory(s, "one", 3), store.Memory(s, "two")
+    assert one.search([1, 0]) is None
+    one.add(df)
+    two.add(df.limit(1))
+    assert (one.count(), two.count()) == (2, 1) and [r.chunk_id for r in one.search([1, 0], 5, 0.5).collect()] == ["a"]
+    with pytest.raises(store.InvalidRows):
+        one.add(df)
+    one.clear()
+    assert (one.count(), two.count()) == (0, 1)
+
+
+def test_metadata(spark):
+    from tessera.functions import metadata as M
+
+    assert M.flat({"b": [1, None, "x"], "a": {"k": True}, "c": 1.5}) == "{a: {k: true}, b: 1, , x, c: 1.5}"
+    df = spark.createDataFrame([('{"a": [1, 2], "b": null}',), (None,)], "j string")
+    assert [r[0] for r in df.select(M.flattened("j")).collect()] == [{"a": "1, 2", "b": ""}, None]
+    assert df.select(M.hit_rate(F.lit(1), F.lit(3)), M.hit_rate(F.lit(0), F.lit(0))).first() == (0.25, 0.0)
+    assert [r.batch for r in M.batches(spark.range(5), 2, "id").orderBy("id").collect()] == [0, 0, 1, 1, 2]
+    with pytest.raises(ValueError):
+        M.batches(df, 0, "j")
