@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +56,27 @@ def add_overlap(chunks: DataFrame, size: int) -> DataFrame:
     )
 
 
+def shared(before: str | None, content: str | None) -> int:
+    """Length of the longest start of content that before ends with."""
+    if not before or not content:
+        return 0
+    at = before.find(content[0], max(0, len(before) - len(content)))
+    while at >= 0:
+        if content.startswith(before[at:]):
+            return len(before) - at
+        at = before.find(content[0], at + 1)
+    return 0
+
+
+def _shared(before: pd.Series, content: pd.Series) -> pd.Series:
+    return pd.Series([shared(a, b) for a, b in zip(before, content, strict=True)], dtype="int32")
+
+
 def remove_overlap(chunks: DataFrame) -> DataFrame:
     """Each chunk without the longest start that is also the end of the one before it."""
-    before = chunks.withColumn("before", F.coalesce(_previous(), F.lit("")))
-    most = F.least(F.length("before"), F.length("content"))
-    ends = F.filter(F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda n: F.right("before", n) == F.left("content", n))
-    cut = F.coalesce(F.get(ends, F.lit(0)), F.lit(0))
-    return before.withColumn("cut", cut).select(
+    before = chunks.withColumn("before", _previous())
+    cut = before.withColumn("cut", F.pandas_udf(_shared, "int")("before", "content"))
+    return cut.select(
         "document_id",
         "chunk_index",
         F.expr("substring(content, cut + 1)").alias("content"),
