@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 #: Words without weight in retrieval.
 STOP_WORDS = tuple(
     sorted(
-        "they them their it its this that these those what which who whom when where why how here there "
-        "a an the all each every both few more most other some such no nor not only own same so than too very just also now "
-        "is are was were be been have has had do does did will would could should may might must shall can "
-        "and or but in on at to for of with by from as".split()
+        "a all also an and are as at be been both but by can could did do does each every few for from had "
+        "has have here how in is it its just may might more most must no nor not now of on only or other own "
+        "same shall should so some such than that the their them there these they this those to too very was "
+        "were what when where which who whom why will with would".split()
     )
 )
 #: Characters a token has on average, by tokenizer.

@@ -163,8 +163,9 @@ def _times(times: Mapping[str, int]) -> Column:
 
 def _part(tf: Column, df: Column) -> Column:
     """A term's share of a score; needs n, mean and length."""
-    idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
-    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    rarity = F.log1p((F.col("n") + 0.5 - df) / (df + 0.5))
+    relative = F.col("length") / F.col("mean")
+    return rarity * tf * (1 + K1) / (K1 * (relative * B + (1 - B)) + tf)
 
 
 def query_terms(query: str, min_length: int = 3, stop_words: bool = True) -> list[str]:

@@ -167,7 +167,7 @@ ASKED, OTHER = "ering ering thhe stupid outi", "erhe onea thand idiot ouerre eme
 def bm25_sql(name: str, asked: str, limit: int | None, condition: str = "true") -> str:
     terms = ", ".join(f"('{w}')" for w in asked.split())
     order = f" ORDER BY score DESC, doc_id LIMIT {limit}" if limit else ""
-    return f"""{name} AS (SELECT doc_id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+    return f"""{name} AS (SELECT doc_id, sum(times * ln(1 + (0.5 + n - df) / (0.5 + df)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
   FROM (SELECT term, count(*) AS times FROM (VALUES {terms}) v(term) WHERE length(term) >= 3 GROUP BY term) q JOIN postings USING (term)
   JOIN (SELECT term, count(*) AS df FROM postings GROUP BY term) USING (term) JOIN lengths USING (doc_id), (SELECT count(*) AS n, greatest(1.0::DOUBLE, avg(length)) AS mean FROM lengths)
   WHERE doc_id IN (SELECT doc_id FROM documents WHERE {condition}) GROUP BY doc_id{order})"""

@@ -28,7 +28,7 @@ def plain_bm25(rows, query):
         df = sum(w in t for t in toks.values())
         for i, t in toks.items():
             if tf := t.count(w):
-                out[i] = out.get(i, 0) + math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean))
+                out[i] = out.get(i, 0) + math.log1p((0.5 + n - df) / (0.5 + df)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean))
     return out
 
 

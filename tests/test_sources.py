@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tessera.sources import parse
 from tessera.sources.loaders import DEFAULTS, Loader, Registry, directory, html_table, load_csv, load_csv_rows, load_html, load_json, load_json_array, load_markdown, load_text, text_rows
 
-HTML = """<!DOCTYPE html><html><head><title>A &amp; B</title><meta name="author" content="Ann"><meta name="Description" content="d">
+HTML = """<!doctype HTML>
+<html lang="en"><head><title>A &amp; B</title><meta name="author" content="Ann"><meta name="Description" content="d">
 <meta property="og:type" content="page"><meta name="k" content="v"><style>p{}</style><script>var t="</p>";</script></head>
 <body><nav><ul><li>menu</li></ul></nav><article class="main big" id="a1"><h1>Title</h1><p>One <b>bo</b>ld<br>two</p><aside>ad</aside></article><div>rest</div><footer>f</footer></body></html>"""
 
@@ -62,7 +63,7 @@ def folder(tmp_path):
 
 def test_directory(spark, folder):
     got = {r.source: r for r in directory(spark, folder, excluded=["skip", "draft-*"]).collect()}
-    assert set(got) == {"a", "b", "c", "d", "e"} and got["a"].content == "plain" and got["e"].content == "x,y\n1,2\n"
+    assert set(got) == set("abcde") and got["a"].content == "plain" and got["e"].content == "x,y\n1,2\n"
     assert got["b"].title == "T" and json.loads(got["b"].custom) == {"kind": "note"} and got["b"].content == "# Head"
     assert got["c"].mime_type == "text/html" and got["c"].author == "Ann"
     assert {r.source for r in directory(spark, folder, extensions=[".TXT"]).collect()} == {"a", "h", "draft-j"}

@@ -18,7 +18,7 @@ def pair(spark, f, a, b=None):
 @pytest.mark.parametrize(
     "f,a,b,want",
     [
-        (V.dot, [1, 2, 3], [4, 5, 6], 32),
+        (V.dot, list(range(1, 4)), list(range(4, 7)), 32),
         (V.euclidean, [0, 0], [3, 4], 5),
         (V.euclidean, [0], [3, 4], 0),
         (V.cosine, [1, 2], [1, 2], 1),
