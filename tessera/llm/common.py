@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once by the vectorised kernels; a longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Prefix of helper columns, so that no column of the input can clash with them.
 TMP = "__tsr_"
 

@@ -20,7 +20,7 @@ from tessera.llm.common import raw
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers; beyond, it forgets all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Tokenizer:
