@@ -19,7 +19,7 @@ from tessera.llm.common import raw
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers; beyond, it forgets all and starts again.
+#: Pieces that a worker remembers: the first ones, among which all frequent ones are.
 REMEMBERED = 200_000
 
 
@@ -47,13 +47,13 @@ class Tokenizer:
         edges = np.flatnonzero(cut)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         found = pieces.dictionary_encode()
-        if len(self.held) > REMEMBERED:
-            self.held.clear()
         held, bpe, ids = self.held, self.bpe.encode_ordinary, []
         for piece in found.dictionary.to_pylist():
             got = held.get(piece)
             if got is None:
-                got = held[piece] = bpe(piece.decode())
+                got = bpe(piece.decode())
+                if len(held) < REMEMBERED:
+                    held[piece] = got
             ids.append(got)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((t for x in ids for t in x), np.uint32, int(size.sum()))
