@@ -5,8 +5,9 @@ as half of (sum v)^2 - sum v^2. Pairs of words count beyond their sum, so an ins
 weigh more than either. Words are those of common.Words, hashed into ``BUCKETS``.
 
 Training reads at most ``train_rows`` labelled documents of each class, chosen by the hash of doc_id (the only
-sampling), on the driver. Weights go to features that set the classes apart by a G-test of ``MIN_G``, or that are in a
-share of ``FREQUENT`` of the documents and may count in pairs; thousands of others would only add noise to long texts.
+sampling), on the driver. Features in ``MIN_DOCS`` documents have factors, so that words that do not tell alone can in
+pairs. Weights of their own go to those that set the classes apart by a G-test of ``MIN_G`` or are in a share of
+``FREQUENT`` of the documents; thousands of others would only add noise to long texts.
 The threshold is the one of best F1 on a fifth that is held out, midway to the next lower score; the weights are then
 learnt from all of the sample. All documents are scored, over whole texts.
 
@@ -31,6 +32,8 @@ TRAIN_ROWS = 4000
 MIN_DOCS = 3
 MIN_G = 10.8
 FREQUENT = 0.2
+#: AdaGrad starts from this for features without a weight of their own: chance gradients hardly move their factors.
+DAMPING = 0.1
 EPOCHS = 12
 
 
@@ -63,13 +66,15 @@ class Machine:
     def fit(self, docs: list[np.ndarray], y: np.ndarray, seed: int = 7, l2: float = 1e-3, rate: float = 0.1) -> Machine:
         """AdaGrad on the logistic loss, both classes of the same weight."""
         rng = np.random.default_rng(seed)
-        kept = np.flatnonzero(_telling(docs, y))
+        enough, telling = _telling(docs, y)
+        kept = np.flatnonzero(enough)
+        linear = np.append(False, telling[kept])
         self.known[:] = 0
         self.known[kept] = np.arange(1, len(kept) + 1)
         k = self.w.shape[1] - 1
         w = np.concatenate([np.zeros((len(kept) + 1, 1)), rng.normal(0, 0.01, (len(kept) + 1, k))], 1)
         w[0] = 0
-        seen, bias, seen_bias = np.full_like(w, 1e-6), 0.0, 1e-6
+        seen, bias, seen_bias = np.where(linear[:, None], 1e-6, DAMPING) * np.ones_like(w), 0.0, 1e-6
         rows = [r[r > 0] for r in (self.known[d] for d in docs)]
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
         for _ in range(EPOCHS):
@@ -90,6 +95,7 @@ class Machine:
                 touched, first = np.unique(flat[o], return_index=True)
                 if len(touched):
                     g = np.add.reduceat(grad[o], first, axis=0) + l2 * w[touched] / len(batch)
+                    g[~linear[touched], 0] = 0
                     seen[touched] += g * g
                     w[touched] -= rate * g / np.sqrt(seen[touched])
                 seen_bias += err.sum() ** 2
@@ -98,8 +104,8 @@ class Machine:
         return self
 
 
-def _telling(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """For each feature whether it has weights: it sets the classes apart (G-test), or is in many documents."""
+def _telling(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each feature whether it has factors, and whether it has a weight: it sets the classes apart (G-test), or is in many documents."""
     every, own = (np.bincount(np.concatenate([d for d, t in zip(docs, y, strict=True) if t >= least] or [np.empty(0, np.int64)]), minlength=BUCKETS).astype(float) for least in (0, 1))
     n, share = max(1, len(y)), (y == 1).mean() if len(y) else 0.0
 
@@ -107,7 +113,8 @@ def _telling(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0)
 
     test = 2 * (part(own, every * share) + part(every - own, every * (1 - share)) + part(n * share - own, (n - every) * share) + part(n - n * share - every + own, (n - every) * (1 - share)))
-    return (every >= MIN_DOCS) & ((test >= MIN_G) | (every >= FREQUENT * n))
+    enough = every >= MIN_DOCS
+    return enough, enough & ((test >= MIN_G) | (every >= FREQUENT * n))
 
 
 def _best(score: np.ndarray, y: np.ndarray) -> float:

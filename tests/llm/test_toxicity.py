@@ -35,6 +35,21 @@ def test_learns_a_pair_that_no_sum_can():
     assert ((m.score(np.concatenate(docs), bounds) > 0.5) == np.array(y)).mean() > 0.95
 
 
+def test_learns_a_pair_whose_words_do_not_tell_alone():
+    # both words in 600 toxic documents, either in 600 clean ones: each in as many of both classes
+    rng = np.random.default_rng(3)
+    docs, y = [], []
+    for i in range(8000):
+        toxic, k = i % 2, i // 2
+        own = [1, 2] if toxic and k < 600 else [1] if not toxic and k < 600 else [2] if not toxic and k < 1200 else [3] if toxic else []
+        docs.append(np.unique(np.array(own + rng.integers(100, 400, 12).tolist(), np.int32)))
+        y.append(toxic)
+    m = Machine().fit(docs, np.array(y))
+    score = m.score(np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
+    pair, one = (np.array([set(d.tolist()) & {1, 2, 3} in kinds for d in docs]) for kinds in ([{1, 2}], [{1}, {2}]))
+    assert (score[pair] > 0.5).mean() > 0.9 and (score[one] < 0.5).mean() > 0.9
+
+
 def test_threshold():
     assert _best(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) == 0.5
 
