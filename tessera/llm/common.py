@@ -1,9 +1,12 @@
-"""Shared pieces: checkpoint folder, Arrow slices of bounded size, words as integer codes."""
+"""Shared pieces: checkpoint folder, column names, Arrow slices of bounded size, words as integer codes."""
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +24,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, else the one set on the context. Only where driver and tasks are one
+    process (master local[...]) may both be unset: then it is a folder that goes with the process."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rsplit("/", 1)[0]  # Spark puts a folder of its own into the one it is given
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder of ``spark.checkpoint.dir``, so that a lost executor costs nothing."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    """df, computed once into the shared folder, so that a lost executor costs nothing."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def safe(docs: DataFrame, *known: str) -> DataFrame:
+    """docs with all columns but the known ones named by their place, so that no name (dots, clashes) can do harm."""
+    return docs.toDF(*[c if c in known else f"{TMP}{i}" for i, c in enumerate(docs.columns)])
+
+
+def mapped(docs: DataFrame, run: Callable, *known: str) -> DataFrame:
+    """docs.mapInArrow of a function that keeps the columns, of which it knows the known ones by name."""
+    plain = safe(docs, *known)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def type_of(docs: DataFrame, column: str) -> str:
+    return docs.schema[column].dataType.simpleString()
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
@@ -96,9 +134,13 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
+    def hashed(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each distinct word."""
+        return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.distinct.to_pylist()), np.uint64, len(self.distinct))
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word."""
-        of = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.distinct.to_pylist()), np.uint64, len(self.distinct))
+        of = self.hashed(seed)
         return of[self.code] if len(of) else np.empty(0, np.uint64)
 
     def counts(self) -> np.ndarray:

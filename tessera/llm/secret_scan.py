@@ -5,26 +5,32 @@ rule_version) that were scanned. A run finds the pairs that it lacks, scans one
 alone, and joins all findings, old and new, back to every path and version of the blob. A rule whose version changes
 is run again on everything; a text met again under whatever path is not.
 
-The version to scan of each blob is chosen on digests alone. The texts are then narrowed by the smaller of two lists:
-the versions to scan or those to leave out; a list of at most ``broadcast_rows`` rows is broadcast, else texts and list
-meet in a shuffle. Findings carry the SHA-256 of a secret, never the secret.
+The copy to scan of each blob is chosen on digests alone, as (blob, hash of path and version). The texts are then
+narrowed by the smaller of two lists: the copies to scan or those to leave out; a list of at most ``broadcast_rows``
+rows, each of bounded size, is broadcast, else texts and list meet in a shuffle. All ways choose the same texts.
+Findings carry the SHA-256 of a secret, never the secret.
 
 Defined results: a null text is no blob and has no findings; the empty text is one without. Nulls in path or version
-are values. Repeated versions give their findings once. n counts the occurrences in one copy of the text.
+are values. Versions that share path and version but not the text are all versions, each with its own blob. Repeated
+versions give their findings once, whatever their other columns, which don't matter. n counts the occurrences in one
+copy of the text. Texts are scanned in full, however long, and secrets taken to their end.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, table
+from tessera.llm.common import TMP, checkpointed, table
 
 BROADCAST_ROWS = 500_000
+AT = TMP + "at"
+ROW = TMP + "row"
 
 
 @dataclass(frozen=True)
@@ -41,42 +47,47 @@ RULES = (
     Rule("aws-access-key", 1, "((?:AKIA|ASIA)[0-9A-Z]{16})", "IA"),
     Rule("github-token", 1, "(gh[pousr]_[0-9A-Za-z]{36})"),
     Rule("google-api-key", 1, "(AIza[0-9A-Za-z_-]{35})", "AIza"),
-    Rule("slack-token", 1, "(xox[abprs]-[0-9A-Za-z-]{10,80})", "xox"),
+    Rule("slack-token", 2, "(xox[abprs]-[0-9A-Za-z-]{10,})", "xox"),
     Rule("private-key", 1, "(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)", "-----BEGIN "),
     Rule("json-web-token", 1, "(eyJ[0-9A-Za-z_-]{8,}[.]eyJ[0-9A-Za-z_-]{8,}[.][0-9A-Za-z_-]{8,})", "eyJ"),
-    Rule("assigned-secret", 2, "(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy])[ \t]{0,3}[:=][ \t]{0,3}[\"']?([0-9A-Za-z+/_-]{16,80})"),
+    Rule("assigned-secret", 3, "(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy])[ \t]{0,3}[:=][ \t]{0,3}[\"']?([0-9A-Za-z+/_-]{16,})"),
 )
+#: The rules as they were before: two of them cut a secret at 80 characters.
+RULES_BEFORE = tuple(replace(r, rule_version=r.rule_version - 1, pattern=re.sub(r",}\)$", ",80})", r.pattern)) if r.rule_id in ("slack-token", "assigned-secret") else r for r in RULES)
 PAIR = "blob string, rule_id string, rule_version int"
 FINDING = "blob string, rule_id string, rule_version int, secret_sha256 string, n long"
 
 
 def blobs(versions: DataFrame) -> DataFrame:
-    """(path, version, blob) of each version with a text."""
-    return versions.where(F.col("text").isNotNull()).select("path", "version", F.sha2("text", 256).alias("blob"))
+    """(path, version, blob, at) of each version with a text; at tells the copies of a blob apart."""
+    return versions.where(F.col("text").isNotNull()).select("path", "version", F.sha2("text", 256).alias("blob"), F.xxhash64("path", "version").alias(AT))
 
 
 def _unseen(found: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None) -> DataFrame:
-    """(blob, path, version, todo): of each blob with rules to run, one version and the rules' ids."""
-    first = found.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("at"))
+    """(blob, at, todo): of each blob with rules to run, one copy and the rules' ids."""
+    first = found.groupBy("blob").agg(F.min(AT).alias(AT))
+    every = F.array(*[F.lit(r.rule_id) for r in sorted(rules, key=lambda r: r.rule_id)]).cast("array<string>")
     if ledger is None:
-        return first.select("blob", "at.path", "at.version", F.array(*[F.lit(r.rule_id) for r in rules]).alias("todo"))
-    spark = found.sparkSession
-    wanted = spark.createDataFrame([(r.rule_id, r.rule_version) for r in rules], "rule_id string, rule_version int")
-    pairs = first.crossJoin(F.broadcast(wanted)).join(ledger.select("blob", "rule_id", "rule_version"), ["blob", "rule_id", "rule_version"], "left_anti")
-    return pairs.groupBy("blob").agg(F.first("at").alias("at"), F.collect_set("rule_id").alias("todo")).select("blob", "at.path", "at.version", "todo")
+        return first.select("blob", AT, every.alias("todo"))
+    wanted = _ids(found.sparkSession, rules)
+    done = ledger.select("blob", "rule_id", "rule_version").join(wanted, ["rule_id", "rule_version"], "left_semi").groupBy("blob").agg(F.collect_set("rule_id").alias("done"))
+    todo = F.array_except(every, F.coalesce("done", F.array().cast("array<string>")))
+    return first.join(done, "blob", "left").select("blob", AT, todo.alias("todo")).where(F.size("todo") > 0)
+
+
+def _ids(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(r.rule_id, r.rule_version) for r in rules], "rule_id string, rule_version int"))
 
 
 def _texts(versions: DataFrame, found: DataFrame, unseen: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(blob, todo, text) of the versions to scan."""
-    same = lambda a, b: F.col(f"{a}.path").eqNullSafe(F.col(f"{b}.path")) & F.col(f"{a}.version").eqNullSafe(F.col(f"{b}.version"))
-    texts = versions.select("path", "version", "text").where(F.col("text").isNotNull()).alias("v")
-    n, due = unseen.count(), [r[0] for r in unseen.select(F.array_sort("todo").alias("todo")).distinct().limit(2).collect()]
+    """(blob, todo, text) of the copies to scan."""
+    texts = versions.where(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("blob"), F.xxhash64("path", "version").alias(AT), "text")
+    n, due = unseen.count(), [r[0] for r in unseen.select("todo").distinct().limit(2).collect()]
     if len(due) == 1 and found.count() - n <= min(n, broadcast_rows):
-        rest = found.alias("f").join(unseen.alias("u"), same("f", "u"), "left_anti").select("path", "version")
-        left = texts.join(F.broadcast(rest).alias("r"), same("v", "r"), "left_anti")
-        return left.select(F.sha2("text", 256).alias("blob"), F.array(*map(F.lit, due[0])).alias("todo"), "text")
+        rest = found.select("blob", AT).join(unseen, ["blob", AT], "left_anti")
+        return texts.join(F.broadcast(rest), ["blob", AT], "left_anti").select("blob", F.array(*map(F.lit, due[0])).alias("todo"), "text")
     wanted = F.broadcast(unseen) if n <= broadcast_rows else unseen.hint("shuffle_hash")
-    return texts.join(wanted.alias("u"), same("v", "u")).select("u.blob", "u.todo", "v.text")
+    return texts.join(wanted, ["blob", AT]).select("blob", "todo", "text")
 
 
 def scan_texts(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -90,9 +101,11 @@ def scan_texts(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         return F.when(due, F.transform(hits, lambda s: F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.rule_version).alias("rule_version"), F.sha2(s, 256).alias("secret_sha256"))))
 
     none = F.array().cast("array<struct<rule_id:string,rule_version:int,secret_sha256:string>>")
-    each = texts.select("blob", F.explode(F.concat(*[F.coalesce(of(r), none) for r in rules])).alias("f")).select("blob", "f.*")
-    # a blob may come twice if its version is repeated: its rows are then the same, and n the count in one of them
-    return each.groupBy("blob", "rule_id", "rule_version", "secret_sha256").agg(F.count("*").alias("n"))
+    rows = texts.withColumn(ROW, F.monotonically_increasing_id())
+    each = rows.select("blob", ROW, F.explode(F.concat(*[F.coalesce(of(r), none) for r in rules])).alias("f")).select("blob", ROW, "f.*")
+    # copies that share path and version are scanned alike: n is the count in one of them
+    kinds = ["blob", "rule_id", "rule_version", "secret_sha256"]
+    return each.groupBy(ROW, *kinds).agg(F.count("*").alias("n")).groupBy(*kinds).agg(F.max("n").alias("n"))
 
 
 def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, findings: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,19 +115,14 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
     """
     found = checkpointed(blobs(versions).distinct())
     unseen = checkpointed(_unseen(found, rules, ledger))
-    new = checkpointed(scan_texts(_texts(versions.distinct() if _repeated(versions, found) else versions, found, unseen, broadcast_rows), rules))
-    spark = versions.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(r.rule_id, r.rule_version) for r in rules], "rule_id string, rule_version int"))
+    new = checkpointed(scan_texts(_texts(versions, found, unseen, broadcast_rows), rules))
+    wanted = _ids(versions.sparkSession, rules)
     every = new if findings is None else new.unionByName(findings.join(wanted, ["rule_id", "rule_version"], "left_semi").select(new.columns)).distinct()
     report = found.join(every, "blob").select("path", "version", "blob", "rule_id", "rule_version", "secret_sha256", "n")
     pairs = unseen.select("blob", F.explode("todo").alias("rule_id")).join(wanted, "rule_id").select("blob", "rule_id", "rule_version")
     return report, pairs, new
 
 
-def _repeated(versions: DataFrame, found: DataFrame) -> bool:
-    return versions.where(F.col("text").isNotNull()).count() > found.count()
-
-
 class Ledger:
     """A ledger and its findings as Parquet in a folder; each run adds to both, findings first."""
 
@@ -140,10 +148,16 @@ class Ledger:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is a version, numbered by doc_id, of the file source/lang."""
+    """Each document is a version, numbered by doc_id, of the file source/lang.
+
+    Two runs of a history: when its older half was there, under the rules as they were; then on all of it, where blobs
+    of the first run are scanned by the rules that have changed since, and the others by all.
+    """
     docs = table(spark, sf_dir, "documents")
     versions = docs.select(F.concat_ws("/", "source", "lang").alias("path"), F.col("doc_id").alias("version"), "text")
-    return scan(versions)[0].withColumnRenamed("version", "doc_id")
+    middle = versions.agg(F.avg("version")).first()[0]
+    _, pairs, found = scan(versions.where(F.col("version") <= F.lit(middle)), RULES_BEFORE)
+    return scan(versions, RULES, checkpointed(pairs), found)[0].withColumnRenamed("version", "doc_id")
 
 
 def _sql() -> str:

@@ -4,7 +4,7 @@ from collections import Counter
 from dataclasses import replace
 
 import pytest
-from tessera.llm.secret_scan import RULES, Ledger, scan
+from tessera.llm.secret_scan import RULES, RULES_BEFORE, Ledger, query, scan
 
 KEY = "AKIA" + "ABCDEFGH12345678"
 TOKEN = 'token = "' + "0a1b2c3d" * 5 + '"'
@@ -32,6 +32,16 @@ V1 = [
     ("c", 2, "", None, None, None),
     ("long", 1, "word " * 300_000 + GIT, None, None, None),
 ]
+TWO = [
+    # two texts under one path and version, of which one has copies elsewhere, and the same with null versions
+    ("p", 1, f"one {KEY}", "x", 1, "t"),
+    ("p", 1, f"two {GIT} {GIT}", "x", 1, "t"),
+    ("q", None, f"one {KEY}", "x", 1, "t"),
+    ("q", None, f"three {TOKEN}", "x", 1, "t"),
+    *[(f"copy{i}", i, "clean", None, i, None) for i in range(6)],
+    # one version three times, with other values in the columns that don't matter
+    *[("r", 5, f"four {GIT} {GIT}", "x", i, str(i)) for i in range(3)],
+]
 V2 = [*V1, ("d", 9, f"key {KEY} and {KEY}", None, None, None), ("e", 1, f"new {GIT}", None, None, None)]
 
 
@@ -43,6 +53,29 @@ def test_findings(spark, limit):
     assert pairs.count() == 5 * len(RULES)
 
 
+@pytest.mark.parametrize("limit", [500_000, 3, 0])
+@pytest.mark.parametrize("copies", [6, 0])
+def test_texts_that_share_path_and_version(spark, limit, copies):
+    rows = [r for r in TWO if copies or not r[0].startswith("copy")]
+    got = scan(spark.createDataFrame(rows, SCHEMA), broadcast_rows=limit)[0].collect()
+    assert set(map(tuple, got)) == plain(rows) and len(got) == len(plain(rows))
+    # half of it known, under older rules
+    _, pairs, found = scan(spark.createDataFrame(rows[:3], SCHEMA), RULES_BEFORE, broadcast_rows=limit)
+    got = scan(spark.createDataFrame(rows, SCHEMA), RULES, pairs, found, broadcast_rows=limit)[0].collect()
+    assert set(map(tuple, got)) == plain(rows) and len(got) == len(plain(rows))
+
+
+def test_query_against_brute_force(spark, sf):
+    rows = [(f"{r.source}/{r.lang}", r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert set(map(tuple, query(spark, sf).select("path", "doc_id", "blob", "rule_id", "rule_version", "secret_sha256", "n").collect())) == plain(rows)
+
+
+def test_a_long_secret_is_taken_whole(spark):
+    one, two = ("token = " + "k" * 200 + x for x in "ab")
+    got = scan(spark.createDataFrame([("a", 1, one, "", 1, ""), ("a", 2, two, "", 1, "")], SCHEMA))[0].collect()
+    assert len({r.secret_sha256 for r in got}) == 2
+
+
 def test_ledger(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path))
     assert set(map(tuple, ledger.run(spark.createDataFrame(V1, SCHEMA)).collect())) == plain(V1)
