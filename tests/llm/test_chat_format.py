@@ -1,6 +1,9 @@
 import random
 
-from tessera.llm.chat_format import KINDS, chat_format, from_turns
+import time
+
+from tessera.llm.chat_format import KINDS, STRETCH, chat_format, from_turns, log_of
+
 
 SCHEMA = "conv_id long, seq long, kind string, message_id long, role string, text string, m int, turn string, events string"
 
@@ -8,12 +11,13 @@ SCHEMA = "conv_id long, seq long, kind string, message_id long, role string, tex
 def plain(events):
     seen, convs = set(), {}
     good = [e[:6] for e in events if e[0] is not None and e[1] is not None and e[2] in KINDS]
-    for e in sorted(good, key=lambda e: (e[1], e[2], e[5] or "")):
+    for e in sorted(good, key=lambda e: (e[1], e[2], e[5] or "", e[4] is not None, e[4] or "")):
         key = (*e[:5], e[5] or "")
         if key in seen:
             continue
         seen.add(key)
         conv, seq, kind, mid, role, text = key
+        mid = (False, len(seen)) if mid is None else (True, mid)  # without an id each is a message of its own
         m = convs.setdefault(conv, {}).setdefault(mid, {"first": seq, "role": None, "text": ""})
         m["role"] = m["role"] or role
         if kind in ("message", "edit"):
@@ -26,10 +30,11 @@ def plain(events):
             m["text"] += text
     out = {}
     for conv, ms in convs.items():
-        left = sorted(((m["first"], mid is not None, mid or 0), m) for mid, m in ms.items() if m["text"])
+        safe = lambda s: s.replace("<|", "<\u200b|")
+        shown = lambda m: f"<|im_start|>{safe(m['role'] or 'unknown')}\n{safe(m['text'])}<|im_end|>\n"
+        left = sorted((m["first"], *(mid if mid[0] else (False, 0)), shown(m)) for mid, m in ms.items() if m["text"])
         if left:
-            safe = lambda s: s.replace("<|", "<​|")
-            out[conv] = (len(left), "".join(f"<|im_start|>{safe(m['role'] or 'unknown')}\n{safe(m['text'])}<|im_end|>\n" for _, m in left))
+            out[conv] = (len(left), "".join(x[-1] for x in left))
     return out
 
 
@@ -67,10 +72,27 @@ def test_fold(spark):
 
 def test_random_logs(spark):
     r = random.Random(3)
-    events = [(r.randrange(12), r.randrange(30), r.choice(KINDS), r.choice([1, 2, 3, None]), r.choice(["user", "assistant", None]), r.choice(["a", "b ", "", None])) for _ in range(600)]
-    # the order of events that differ in the role alone is not defined by seq, kind and text
-    events = list({(e[0], e[1], e[2], e[3], e[5] or ""): e for e in events}.values())
-    assert run(spark, events) == plain(events)
+    for step in (1, STRETCH // 3, -STRETCH):
+        events = [(r.randrange(12), r.randrange(30) * step, r.choice(KINDS), r.choice([1, 2, 3, None]), r.choice(["user", "assistant", None]), r.choice(["a", "b ", "", None])) for _ in range(600)]
+        assert run(spark, events) == plain(events)
+
+
+def test_a_long_message_takes_seconds(spark):
+    n = 200_000
+    rows = spark.range(n).selectExpr("1L as conv_id", "id as seq", "'delta' as kind", "5L as message_id", "'user' as role", "concat('w', id, ' ') as text")
+    rows = rows.unionByName(spark.createDataFrame([(1, n // 2, "regenerate", 5, None, None, 1, "", ""), (1, 5, "message", None, "user", "one", 1, "", ""), (1, 5, "message", None, "user", "two", 1, "", "")], SCHEMA).drop("m", "turn", "events"))
+    began = time.time()
+    (got,) = chat_format(rows).collect()
+    assert time.time() - began < 30
+    later = "".join(f"w{i} " for i in range(n // 2 + 1, n))  # a delta goes before a regeneration of the same number
+    assert got.n_messages == 3 and got.rendered == "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for t in (later, "one", "two"))
+
+
+def test_a_real_log(spark, sf):
+    events = log_of(spark.read.parquet(f"{sf}/conversations.parquet"))
+    rows = [(r.conv_id, r.seq, r.kind, r.message_id, r.role, r.text) for r in events.collect()]
+    assert {r[2] for r in rows} == set(KINDS) and len(set(rows)) < len(rows)
+    assert {r.conv_id: (r.n_messages, r.rendered) for r in chat_format(events).collect()} == plain(rows)
 
 
 def test_turns_and_empty(spark, sf):
