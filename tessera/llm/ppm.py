@@ -87,28 +87,39 @@ def costs(wanted: np.ndarray, keys: np.ndarray, counts: np.ndarray, root: np.nda
 
 
 class Trie:
-    """Byte-context trie over sorted grams: the position of a known gram in three gathers."""
+    """Byte-context trie over sorted grams. A context holds a bit for each symbol that follows it and, for each 64 of
+    them, where their values begin, so a value is found by a count of bits: 48 bytes a context and 4 a gram, whatever
+    the symbols. Grams that it lacks have the value 0."""
+
+    CONTEXT_BYTES, GRAM_BYTES = 48, 4
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         keys = keys.astype(np.uint32)
-        self.cls = np.zeros(256, np.int32)
-        seen = np.unique(np.concatenate([(keys >> np.uint32(8)) & np.uint32(255), keys & np.uint32(255)]))
-        self.cls[seen] = np.arange(len(seen))
-        self.width = max(1, len(seen))
-        pairs = np.unique(keys >> np.uint32(16))
+        context, first = np.unique(keys >> np.uint32(8), return_index=True)
+        self.cls = np.zeros(256, np.int32)  # symbols of the last place of a context; class 0: none
+        seen = np.unique(context & np.uint32(255))
+        self.cls[seen] = np.arange(1, len(seen) + 1)
+        pairs = np.unique(context >> np.uint32(8))
         self.pair = np.zeros(65536, np.int32)
-        self.pair[pairs] = np.arange(len(pairs))
-        triples = np.unique(keys >> np.uint32(8))
-        self.triple = np.zeros((max(1, len(pairs)), self.width), np.int32)
-        self.triple[self.pair[triples >> np.uint32(8)], self.cls[triples & np.uint32(255)]] = np.arange(len(triples))
-        self.value = np.zeros((max(1, len(triples)), self.width), np.float32)
-        self.value[self.node(keys), self.cls[keys & np.uint32(255)]] = values
-
-    def node(self, keys: np.ndarray) -> np.ndarray:
-        return self.triple[self.pair[keys >> np.uint32(16)], self.cls[(keys >> np.uint32(8)) & np.uint32(255)]]
+        self.pair[pairs] = np.arange(1, len(pairs) + 1)
+        self.triple = np.zeros((len(pairs) + 1, len(seen) + 1), np.int32)
+        self.triple[self.pair[context >> np.uint32(8)], self.cls[context & np.uint32(255)]] = np.arange(1, len(context) + 1)
+        node = np.repeat(np.arange(1, len(context) + 1), np.diff(np.append(first, len(keys))))
+        symbol = keys & np.uint32(255)
+        word = node * 4 + (symbol >> np.uint32(6))
+        self.bits = np.zeros(4 * (len(context) + 1), np.uint64)
+        np.bitwise_or.at(self.bits, word, np.uint64(1) << (symbol & np.uint32(63)).astype(np.uint64))
+        self.start = np.searchsorted(word, np.arange(len(self.bits))).astype(np.int32)
+        self.value = np.append(values.astype(np.float32), np.float32(0))
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        return self.value[self.node(keys), self.cls[keys & np.uint32(255)]]
+        word = self.triple[self.pair[keys >> np.uint32(16)], self.cls[(keys >> np.uint32(8)) & np.uint32(255)]]
+        symbol = (keys & np.uint32(255)).astype(np.uint8)
+        word *= 4
+        word += symbol >> np.uint8(6)
+        bits = self.bits[word] << (np.uint8(63) - (symbol & np.uint8(63))).astype(np.uint64)  # the symbol's bit is now the highest
+        at = self.start[word] + np.bitwise_count(bits).astype(np.int32)
+        return self.value[np.where(bits >> np.uint64(63), at - 1, -1)]
 
 
 def adaptive_bits(text: bytes) -> float:
