@@ -5,7 +5,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tessera.llm.mixing import SEED, fit, mix, tempered
+import pytest
+
+from tessera.llm.mixing import SEED, T, W, fit, mix, rate, tempered
 from tessera.llm.tokens import tokenizer
 
 from tests.llm import cases
@@ -38,7 +40,32 @@ def test_fit_hits_large_budgets_exactly():
     assert (fit(lengths, counts, target) * lengths).sum() == target
 
 
-def test_mix_meets_its_targets(spark):
+def shares(have, weights, budget):
+    """What each source spends, by taking out those that have too little one by one."""
+    left, out = dict(have), {}
+    while True:
+        whole = sum(weights[s] for s in left)
+        poor = [s for s, n in left.items() if n <= weights[s] / whole * (budget - sum(out.values()))]
+        if not poor:
+            return out | {s: int(weights[s] / whole * (budget - sum(out.values())) + 1e-6) for s in left}
+        out |= {s: left.pop(s) for s in poor}
+        if not left:
+            return out
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(1, 1000), st.integers(1, 9)), min_size=1), st.integers(0, 3000))
+def test_unspent_budget_goes_to_the_others(spark, held, budget):
+    df = spark.createDataFrame([(n, float(w)) for n, w in held.values()], f"{T} long, {W} double")
+    at = rate(df, budget)
+    got = {s: int(min(n, at * w + 1e-6)) for s, (n, w) in held.items()}
+    assert got == shares({s: n for s, (n, _) in held.items()}, {s: w for s, (_, w) in held.items()}, budget)
+    whole = sum(n for n, _ in held.values())
+    assert min(budget, whole) - len(held) <= sum(got.values()) <= min(budget, whole)
+
+
+@pytest.mark.parametrize("span", [1 << 16, 5])
+def test_mix_meets_its_targets(spark, span):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300")
     rows, enc = docs.collect(), tokenizer()
     have, size = defaultdict(int), {}
@@ -47,10 +74,9 @@ def test_mix_meets_its_targets(spark):
         have[r.source] += size[r.doc_id]
     weights = {s: (3 if s == "src1" else 1) for s in have}
     budget = sum(have.values()) // 2
-    got = mix(docs, weights, budget).collect()
+    got = mix(docs, weights, budget, span=span).collect()
     assert set(map(tuple, got)) <= set(map(tuple, rows)) and len({r.doc_id for r in got}) == len(got)
-    for s in have:
-        target = min(have[s], int(weights[s] / sum(weights.values()) * budget))
+    for s, target in shares(have, weights, budget).items():
         assert 0 <= target - sum(size[r.doc_id] for r in got if r.source == s) <= min(size[r.doc_id] for r in rows if r.source == s)
     # of each length the documents of the smallest hashes
     rank = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(SEED), "doc_id").alias("h")).collect()}
@@ -77,6 +103,13 @@ def test_edges(spark):
     assert both in (0, 2)
 
 
+def test_a_hot_length(spark):
+    # nine of ten documents have one length: their order is found in spans
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 10 = 0, 'one two', 'one') as text", "'s' as source", "1 as `a.b`")
+    one, many = ({r.doc_id for r in mix(docs, share=0.5, span=s).collect()} for s in (1 << 16, 100))
+    assert one == many and sum(2 - (i % 10 > 0) for i in one) == 1650
+
+
 def test_tempered():
     w = tempered({"a": 100, "b": 400, "c": 0}, 0.5)
     assert np.isclose(w["b"], 2 * w["a"]) and np.isclose(sum(w.values()), 1) and "c" not in w

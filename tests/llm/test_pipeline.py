@@ -17,6 +17,7 @@ from tessera.llm.tokens import tokenizer
 import corpus_pipeline
 from tests.llm import cases
 from tests.llm.test_decontaminate import grams, hit
+from tests.llm.test_mixing import shares
 from tests.llm.test_simhash import groups_of
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -50,11 +51,10 @@ def plain_mix(spark, rows):
     for r in rows:
         by[r.source].append(r.doc_id)
     have = {s: sum(size[i] for i in ids) for s, ids in by.items()}
-    weight = mixing.tempered(have)
-    spend, keep = int(mixing.SHARE * sum(have.values())), set()
+    share, keep = shares(have, mixing.tempered(have), int(mixing.SHARE * sum(have.values()))), set()
     for s, ids in by.items():
         lengths, counts = np.unique([size[i] for i in ids], return_counts=True)
-        take = dict(zip(lengths.tolist(), mixing.fit(lengths, counts, min(have[s], int(weight[s] / sum(weight.values()) * spend))).tolist(), strict=True))
+        take = dict(zip(lengths.tolist(), mixing.fit(lengths, counts, share[s]).tolist(), strict=True))
         for n in take:
             keep |= set(sorted((i for i in ids if size[i] == n), key=lambda i: (rank[i], i))[: take[n]])
     return [r for r in rows if r.doc_id in keep]
