@@ -1,7 +1,7 @@
 """Exact deduplication with a heavy-hitter split.
 
-1. Every text is reduced to its SHA-256 digest; (doc_id, digest) goes to the shared checkpoint folder, so texts are
-   not hashed again.
+1. Every text is reduced to its SHA-256 digest; (doc_id, digest) goes to the shared checkpoint folder, on which all
+   counting works. Texts are hashed once more when they are compared with the winners.
 2. A Misra-Gries summary of ``counters`` entries per partition, merged over all, holds every digest that makes up more
    than 1/(counters + 1) of the rows. The candidates are then counted exactly; those with at least ``heavy_least``
    rows are the verified winners. There are never more than ``counters`` of them, whatever the input, so they are
@@ -10,7 +10,9 @@
 
 Defined results: of rows with equal text the one of the smallest doc_id stays (a null doc_id counts as the largest).
 Rows repeated with the same doc_id and text leave one row, the smallest by its other columns. A null text is no copy
-of anything: such rows all stay. The empty text is a text like any other. Further columns are kept as they are.
+of anything: such rows all stay. The empty text is a text like any other, and texts are hashed in full, however long.
+Further columns, whatever their names, are kept as they are; doc_id may be of any type that has an order. An empty
+input gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import TMP, checkpointed, table
+from tessera.llm.common import TMP, checkpointed, safe, table
 
 COUNTERS = 1024
 HEAVY_LEAST = 32
@@ -69,6 +71,7 @@ def winners(digests: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, counters: int = COUNTERS, heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """docs without exact copies of text; the columns of docs."""
+    original, docs = docs.columns, safe(docs, "doc_id", "text")
     names = docs.columns
     keyed = docs.withColumn(D, digest(F.col("text")))
     digests = checkpointed(keyed.where(F.col(D).isNotNull()).select(F.col("doc_id").alias(I), D))
@@ -82,7 +85,7 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS, heavy_least: int = HE
     once = rest.where(F.col(SAME) == 1).select(*names)
     again = rest.where(F.col(SAME) > 1).withColumn(TMP + "json", F.to_json(F.struct(*[c for c in names if c not in ("doc_id", "text")]))) if len(names) > 2 else rest.where(F.col(SAME) > 1).withColumn(TMP + "json", F.lit(""))
     again = again.groupBy(D).agg(F.min_by(F.struct(*names), TMP + "json").alias(TMP + "row")).select(TMP + "row.*")
-    return once.unionByName(again)
+    return once.unionByName(again).toDF(*original)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

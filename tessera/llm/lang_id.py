@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import ppm
-from tessera.llm.common import raw, slices, sums, table, utf8
+from tessera.llm.common import raw, slices, sums, table, type_of, utf8
 
 #: Labelled documents of each language that training reads at most.
 TRAIN_DOCS = 600
@@ -116,7 +116,7 @@ def lang_id(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
                 gap = np.where(size > 0, gap, np.nan)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(least), pa.array(gap, from_pandas=True)], names=["doc_id", "lang", "bits_per_byte", "margin"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, lang string, bits_per_byte double, margin double")
+    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {type_of(docs, 'doc_id')}, lang string, bits_per_byte double, margin double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ Documents are gathered as they come, each partition cutting a shard at ``shard_t
 its own. doc_ids lists the documents in the order of their ids, so that a shard can be read by itself.
 
 Defined results: each row of the input is a document of exactly one shard, repeated rows and null doc_ids included. A
-null or empty text is a document of no tokens. An empty input has no shards. shard_id numbers rows by partition and
+null or empty text is a document of no tokens. An empty input has no shards. doc_id may be of any type; columns other
+than it and the text go. Texts are encoded in full, however long. shard_id numbers rows by partition and
 place, so it holds for one layout of the input; first_doc and n_tokens tell shards apart in any.
 """
 
@@ -22,12 +23,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import slices, table, utf8
+from tessera.llm.common import slices, table, type_of, utf8
 from tessera.llm.tokens import VOCABULARY, tokenizer
 
 SHARD_TOKENS = 1 << 20
 SAMPLE = 64
-SCHEMA = "shard_id long, first_doc long, n_docs long, n_tokens long, id_bytes int, ids binary, doc_ids array<long>, universe long, low_bits int, low binary, high binary, samples array<int>"
+SCHEMA = "shard_id long, first_doc {0}, n_docs long, n_tokens long, id_bytes int, ids binary, doc_ids array<{0}>, universe long, low_bits int, low binary, high binary, samples array<int>"
 
 
 class EliasFano:
@@ -91,8 +92,8 @@ def token_binary(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
         wide = len(flat) and int(flat.max()) >= 1 << 16
         row = {"shard_id": number, "first_doc": doc[0].as_py(), "n_docs": len(size), "n_tokens": len(flat), "id_bytes": 4 if wide else 2}
         row |= {"ids": flat.astype("<u4" if wide else "<u2").tobytes(), "doc_ids": doc, "universe": ef.universe, "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples}
-        kinds = {"id_bytes": pa.int32(), "ids": pa.binary(), "low_bits": pa.int32(), "low": pa.binary(), "high": pa.binary()}
-        lists = {"doc_ids": pa.int64(), "samples": pa.int32()}
+        kinds = {"first_doc": doc.type, "id_bytes": pa.int32(), "ids": pa.binary(), "low_bits": pa.int32(), "low": pa.binary(), "high": pa.binary()}
+        lists = {"doc_ids": doc.type, "samples": pa.int32()}
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, lists[k])) if k in lists else pa.array([v], kinds.get(k, pa.int64())) for k, v in row.items()], names=list(row))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,7 @@ def token_binary(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
         if sizes:
             yield shard(number, ids, sizes, docs_)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA.format(type_of(docs, "doc_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

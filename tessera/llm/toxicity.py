@@ -13,6 +13,8 @@ learnt from all of the sample. All documents are scored, over whole texts.
 
 Defined results: a null or empty text scores as no words at all and is never rejected. Repeated rows score alike.
 Without labels of both classes nothing is rejected and scores are 0. Labels null or of unknown documents are ignored.
+doc_id may be of any type that has an order. ``without_toxic`` keeps all columns, whatever their names; ``toxicity``
+those of its own only.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, slices, sums, table, utf8
+from tessera.llm.common import Words, mapped, slices, sums, table, type_of, utf8
 
 BUCKETS = 1 << 20
 FACTORS = 6
@@ -138,16 +141,17 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(feats))], names=["doc_id", "toxic", "feats"])
 
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    rows = labelled.mapInArrow(run, "doc_id long, toxic int, feats array<int>").toArrow()
+    rows = labelled.mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, toxic int, feats array<int>").toArrow()
     machine = Machine()
     if not rows.num_rows:
         return machine
     rows = rows.combine_chunks()
     feats = rows.column("feats").combine_chunks()
     flat, bounds = feats.values.to_numpy(), feats.offsets.to_numpy()
-    ids, y = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
-    sizes = np.diff(bounds)
-    order = np.lexsort((sizes, y, ids))
+    y, sizes = rows.column("toxic").to_numpy(), np.diff(bounds)
+    ids = rows.column("doc_id").combine_chunks().dictionary_encode()
+    place = np.argsort(pc.array_sort_indices(ids.dictionary).to_numpy())  # of each distinct id in their order
+    order = np.lexsort((sizes, y, place[ids.indices.to_numpy()]))
     each = [flat[bounds[i] : bounds[i + 1]] for i in order]
     y = y[order].astype(np.int64)
     if len(set(y.tolist())) < 2:
@@ -172,7 +176,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
             score, toxic = _judged(sent.value, part)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array(toxic)], names=["doc_id", "score", "toxic"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, toxic boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, score double, toxic boolean")
 
 
 def _judged(machine: Machine, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +194,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
         for part in slices(batches, "text"):
             yield part.filter(pa.array(~_judged(sent.value, part)[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
