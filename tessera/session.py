@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -18,5 +23,29 @@ def session(app: str = "tessera", master: str | None = None, **conf: str) -> Spa
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        # files of a few MB are still read by all cores
+        "spark.sql.files.openCostInBytes": "1m",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, else the one set on the context. Only where driver and tasks are one
+    process (master local[...]) may both be unset: then it is a folder that goes with the process."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rsplit("/", 1)[0]  # Spark puts a folder of its own into the one it is given
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
