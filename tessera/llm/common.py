@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +10,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import shared_folder
+
 #: Bytes of text handled at once by the vectorised kernels; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
 #: Prefix of helper columns, so that no column of the input can clash with them.
@@ -24,28 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _own_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="tessera-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, else the one set on the context. Only where driver and tasks are one
-    process (master local[...]) may both be unset: then it is a folder that goes with the process."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rsplit("/", 1)[0]  # Spark puts a folder of its own into the one it is given
-    if sc.master != "local" and not sc.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_folder()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once into the shared folder, so that a lost executor costs nothing."""
     spark = df.sparkSession
