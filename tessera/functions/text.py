@@ -16,12 +16,14 @@ STOP_WORDS = tuple(
 )
 #: Characters a token has on average, by tokenizer.
 CHARS_PER_TOKEN = {"cl100k": 3.8, "p50k": 4.0, "simple": 4.0}
-SPACE = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+#: White space of any kind: by character, and as a class of patterns.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+SPACE = "[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
 def trimmed(text: Column) -> Column:
     """text without white space of any kind at its ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def tokenize(text: Column, min_length: int = 3, stop_words: bool = True) -> Column:
@@ -40,7 +42,8 @@ def normalize_score(score: Column, low: Column, high: Column) -> Column:
 
 
 def normalize_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "\\s+", " "))
+    """Runs of white space of any kind as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def clean_for_embedding(text: Column) -> Column:
@@ -53,7 +56,7 @@ def file_stem(path: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, "\\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""))
 
 
 def token_count(text: Column, model: str = "simple") -> Column:

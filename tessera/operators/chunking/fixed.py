@@ -12,18 +12,24 @@ from tessera.functions.text import CHARS_PER_TOKEN, trimmed
 
 
 def _windows(documents: DataFrame, size: int, stride: int, id_: str, content: str) -> DataFrame:
-    """Windows over the trimmed text; the last is the first that reaches the end. Blank texts give none."""
-    text = documents.select(F.col(id_).alias("document_id"), trimmed(F.col(content)).alias("text")).where(F.length("text") > 0)
-    count = F.when(F.length("text") <= size, F.lit(1)).otherwise(F.ceil((F.length("text") - size) / F.lit(stride)).cast("int") + 1)
-    each = text.select("document_id", "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_index"))
+    """Windows over the trimmed text; the last is the first that reaches the end. Blank texts give none.
+
+    The text is cut once into blocks of stride characters, of which a window takes those that it reaches into: linear in
+    the text, which is not carried along with its windows.
+    """
+    text = documents.select(F.col(id_).alias("document_id"), trimmed(F.col(content)).alias("text"))
+    blocks = text.select("document_id", F.length("text").alias("n"), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{stride}}}"), F.lit(0)).alias("blocks"))
+    count = F.when(F.col("n") == 0, F.lit(0)).when(F.col("n") <= size, F.lit(1)).otherwise(F.ceil((F.col("n") - size) / F.lit(stride)).cast("int") + 1)
+    full, rest = divmod(size, stride)
+
+    def window(i: Column) -> Column:
+        parts = [F.coalesce(F.get("blocks", i + k), F.lit("")) for k in range(full)]
+        return F.concat(*parts, F.left(F.coalesce(F.get("blocks", i + full), F.lit("")), F.lit(rest))) if rest else F.concat(*parts)
+
+    windows = F.transform(F.slice(F.sequence(F.lit(0), F.greatest(count, F.lit(1))), F.lit(1), count), window)
     start = F.col("chunk_index") * stride
-    return each.select(
-        "document_id",
-        "chunk_index",
-        F.substring("text", start + 1, F.lit(size)).alias("content"),
-        start.alias("start_offset"),
-        F.least(start + size, F.length("text")).alias("end_offset"),
-    )
+    each = blocks.select("document_id", "n", F.posexplode(windows).alias("chunk_index", "content"))
+    return each.select("document_id", "chunk_index", "content", start.alias("start_offset"), F.least(start + size, F.col("n")).alias("end_offset"))
 
 
 def fixed_size(documents: DataFrame, size: int = 1000, overlap: int = 200, id_: str = "doc_id", content: str = "content") -> DataFrame:

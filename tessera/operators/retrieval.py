@@ -84,8 +84,8 @@ def _one_batch(embeddings: DataFrame, asked: pa.Table, limit: int, id_: str, vec
 class BM25:
     """An inverted index as tables: lengths (id, length) and postings (id, term, tf).
 
-    An index just built still knows its tokens (id, tokens); searches then read the texts in two passes without a
-    shuffle. One that is written is searched by its postings, of which only the row groups of the terms are read.
+    An index just built still knows its tokens (id, tokens); a search then reads the texts once, without a shuffle, and
+    keeps what they hold of its terms. One that is written is searched by its postings, of which only the row groups of the terms are read.
     """
 
     def __init__(self, lengths: DataFrame, postings: DataFrame, id_: str, tokens: DataFrame | None = None):
@@ -136,7 +136,7 @@ class BM25:
 
     def _by_tokens(self, times: Mapping[str, int]) -> DataFrame:
         terms = list(times) or [""]
-        found = self.tokens.select(self.id, F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(*terms)).alias("found"))
+        found = self.tokens.select(self.id, F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(*terms)).alias("found")).persist()
         tf = [term_frequency(F.lit(w), F.col("found")) for w in terms]
         known = [F.sum((x > 0).cast("bigint")).alias(f"df{i}") for i, x in enumerate(tf)]
         whole = found.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg("length"), F.lit(0.0))).alias("mean"), *known)
