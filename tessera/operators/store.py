@@ -15,6 +15,10 @@ class InvalidRows(ValueError):
     """Rows that may not be stored."""
 
 
+class Conflict(RuntimeError):
+    """Another writer came first."""
+
+
 def check(rows: DataFrame, dimensions: int | None = None, vector: str = "vector", id_: str = "chunk_id") -> int | None:
     """Raises unless all vectors have one number of dimensions and are finite, and no id is null; returns that number."""
     size = F.size(vector)
@@ -32,8 +36,14 @@ def check(rows: DataFrame, dimensions: int | None = None, vector: str = "vector"
 
 
 def upsert(existing: DataFrame, new: DataFrame, id_: str = "chunk_id") -> DataFrame:
-    """new in the place of rows with the same id. Of rows of new with the same id one stays."""
-    return existing.join(new.select(id_), id_, "left_anti").unionByName(new.dropDuplicates([id_]))
+    """new in the place of rows with the same id. Of rows of new with the same id the last stays."""
+    return existing.join(new.select(id_), id_, "left_anti").unionByName(last_of_each(new, id_))
+
+
+def last_of_each(rows: DataFrame, id_: str = "chunk_id") -> DataFrame:
+    """Of rows with the same id the last, in the order in which they are read."""
+    numbered = rows.withColumn("_place", F.monotonically_increasing_id())
+    return numbered.groupBy(id_).agg(F.max_by(F.struct(*rows.columns), "_place").alias("_row")).select("_row.*")
 
 
 def delete_ids(existing: DataFrame, ids: DataFrame, id_: str = "chunk_id") -> DataFrame:
@@ -65,44 +75,66 @@ def orphans(chunks: DataFrame, embeddings: DataFrame, id_: str = "chunk_id") ->
 
 
 class ParquetStore:
-    """Rows (chunk_id, ..., vector) in versions, folders beside each other; a pointer file names the current one.
+    """Rows (chunk_id, ..., vector) in versions, folders beside each other, each named by a numbered file.
 
-    A change writes a new version and then moves the pointer, so readers see the old or the new rows, never a mix.
+    A change writes a folder, then the file of the next number, which names it; a file is never replaced, so of two
+    writers that start from one version the second fails. Readers take the highest number that is there: the old rows or
+    the new, never a mix or none. The ``keep`` last versions stay, for readers that are still at them.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, dimensions: int | None = None, id_: str = "chunk_id", most: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str, dimensions: int | None = None, id_: str = "chunk_id", most: int | None = None, keep: int = 3):
         """most: rows that the store may hold, any number by default."""
-        self.spark, self.folder, self.dimensions, self.id, self.most = spark, folder.rstrip("/"), dimensions, id_, most
+        self.spark, self.folder, self.dimensions, self.id, self.most, self.keep = spark, folder.rstrip("/"), dimensions, id_, most, keep
 
     def _fs(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _current(self) -> str | None:
-        fs, path = self._fs("CURRENT")
-        return self.spark.read.text(str(path.toString())).first()[0] if fs.exists(path) else None
+    def _versions(self) -> list[tuple[int, str]]:
+        """(number, folder) of all versions, the current one first. A file still empty is no version yet."""
+        fs, root = self._fs("")
+        if not fs.exists(root):
+            return []
+        names = (x.getPath().getName() for x in fs.listStatus(root))
+        out = []
+        for number in sorted((int(n[2:]) for n in names if n.startswith("v-")), reverse=True):
+            text = self.spark.read.text(str(self._fs(f"v-{number:012d}")[1].toString())).head()
+            if text:
+                out.append((number, text[0]))
+        return out
 
     def read(self) -> DataFrame | None:
-        name = self._current()
-        return self.spark.read.parquet(f"{self.folder}/{name}") if name else None
+        versions = self._versions()
+        return self.spark.read.parquet(f"{self.folder}/{versions[0][1]}") if versions else None
 
     def _write(self, rows: DataFrame) -> None:
-        name, old = f"v-{uuid.uuid4().hex}", self._current()
+        old, name = self._versions(), f"data-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.folder}/{name}")
-        fs, pointer = self._fs("CURRENT")
-        _, draft = self._fs(f"CURRENT-{name}")
-        out = fs.create(draft, True)
+        fs, file = self._fs(f"v-{(old[0][0] if old else 0) + 1:012d}")
+        try:
+            out = fs.create(file, False)
+        except Exception as e:
+            fs.delete(self._fs(name)[1], True)
+            raise Conflict(f"{self.folder} was changed by another writer") from e
         out.write(bytearray(name.encode()))
         out.close()
-        fs.delete(pointer, False)
-        fs.rename(draft, pointer)
-        if old:
-            fs.delete(self._fs(old)[1], True)
+        for number, folder in old[max(0, self.keep - 1) :]:
+            fs.delete(self._fs(f"v-{number:012d}")[1], False)
+            fs.delete(self._fs(folder)[1], True)
+
+    def vacuum(self) -> None:
+        """Deletes what no version names: folders of writers that broke off."""
+        fs, root = self._fs("")
+        named = {folder for _, folder in self._versions()}
+        for status in fs.listStatus(root) if fs.exists(root) else ():
+            name = status.getPath().getName()
+            if name.startswith("data-") and name not in named:
+                fs.delete(status.getPath(), True)
 
     def add(self, rows: DataFrame) -> None:
         self.dimensions = check(rows, self.dimensions, id_=self.id)
         existing = self.read()
-        wanted = rows.dropDuplicates([self.id]) if existing is None else upsert(existing, rows, self.id)
+        wanted = last_of_each(rows, self.id) if existing is None else upsert(existing, rows, self.id)
         if self.most is not None and (n := wanted.count()) > self.most:
             raise InvalidRows(f"{n} rows are more than the {self.most} that the store may hold")
         self._write(wanted)
@@ -136,8 +168,6 @@ class ParquetStore:
             self._write(existing.limit(0))
 
 
-
-
 def save_json(chunks: DataFrame, embeddings: DataFrame, folder: str) -> None:
     """Both tables as JSON lines."""
     chunks.write.mode("overwrite").json(f"{folder}/chunks")
@@ -185,3 +215,12 @@ class Memory:
 
     def clear(self) -> None:
         self.store.delete_where(F.col("document_id") == self.namespace)
+
+
+def make_store(spark: SparkSession, kind: str, folder: str, **parameters: object) -> ParquetStore | Memory:
+    """A store by name: "parquet" in a folder, or "memory", a namespace of one."""
+    if kind == "parquet":
+        return ParquetStore(spark, folder, **parameters)  # type: ignore[arg-type]
+    if kind == "memory":
+        return Memory(ParquetStore(spark, folder), **parameters)  # type: ignore[arg-type]
+    raise ValueError(f"unknown store {kind!r}; parquet and memory are known")

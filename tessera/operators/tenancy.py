@@ -45,19 +45,19 @@ def counts(chunks: DataFrame) -> DataFrame:
 def replay_rate_limit(events: DataFrame, key: str, ts: str, id_: str, capacity: float, per_second: float) -> DataFrame:
     """(id, key, allowed, tokens): a token bucket for each key, full at first, over its events in the order of time.
 
-    One task replays a key; the events of a key are sorted in it.
+    One task replays a key, whose events are sorted in it: each step needs the one before, so a hot key is serial.
     """
     kinds = dict(events.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([ts, id_])
-        left, last, allowed, tokens = float(capacity), None, [], []
-        for at in rows[ts]:
-            if last is not None:
-                left = min(capacity, left + (at - last).total_seconds() * per_second)
-            last, ok = at, left >= 1
+        refill = (rows[ts].diff().dt.total_seconds().fillna(0.0) * per_second).tolist()
+        left, allowed, tokens = float(capacity), [], []
+        for more in refill:
+            left = min(capacity, left + more)
+            ok = left >= 1
             left -= ok
-            allowed.append(bool(ok))
+            allowed.append(ok)
             tokens.append(left)
         return pd.DataFrame({id_: rows[id_], key: rows[key], "allowed": allowed, "tokens": tokens})
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import filters as flt
@@ -102,15 +102,6 @@ def chunk_overlap_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.remove_overlap(_fixed(spark, sf_dir))
 
 
-def _strategy(name: str, strategy: str, **parameters: object) -> None:
-    query(name)(lambda spark, sf_dir: chunking.chunk(documents(spark, sf_dir), strategy, **parameters))
-
-
-for _name in ("sentence", "paragraph", "recursive", "markdown", "code"):
-    _strategy(f"chunk_{_name}", _name)
-_strategy("chunk_semantic", "semantic", threshold=0.4)
-
-
 @query("paragraph_split", r"SELECT doc_id, p AS paragraph FROM (SELECT doc_id, unnest(list_transform(regexp_split_to_array(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n\s*\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS p FROM documents) WHERE p <> ''")
 def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.explode(T.paragraphs(F.col("content"))).alias("paragraph"))
@@ -544,16 +535,6 @@ def retrieve_namespaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vector_topk(own, _first(spark, sf_dir), 5, "vec_id", "embedding").select("vec_id", rounded("score").alias("score"))
 
 
-@query("sentence_windows", "SELECT conv_id, turn, string_agg(text, ' ') OVER w AS text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) QUALIFY count(*) OVER w = 3")
-def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding windows of three parts of a document, here turns of a conversation, short tails left out."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(0, 2)
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.collect_list("text").over(w).alias("parts"))
-    return rows.where(F.size("parts") == 3).select("conv_id", "turn", F.array_join("parts", " ").alias("text"))
-
+# the rest of the catalogue registers itself
 
-@query("breakpoint_groups", "SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS part FROM conversations")
-def breakpoint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A running number of breaks as group, here a break at each user turn."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum((F.col("role") == "user").cast("int")).over(w).alias("part"))
+from tessera.plans import chunk_queries  # noqa: E402, F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html.parser
 import json
 import re
@@ -43,25 +44,39 @@ def front_matter(text: str) -> tuple[dict[str, str], str]:
     return {k: v for k, v in found.items() if k and v}, "\n".join(lines[end + 1 :]).strip()
 
 
+@functools.cache
+def _selector(text: str) -> tuple[str, str, tuple[str, ...]] | None:
+    """Name, id and classes that a selector asks for; None if it asks for anything else."""
+    m = re.fullmatch(r"(\w+)?(?:#([\w-]+))?((?:\.[\w-]+)*)", text)
+    return (m[1] or "", m[2] or "", tuple(c for c in m[3].split(".") if c)) if m else None
+
+
+def matches(selector: str, tag: str, attrs: dict[str, str | None]) -> bool:
+    if (asked := _selector(selector)) is None:
+        return False
+    name, id_, classes = asked
+    if name and name != tag or id_ and attrs.get("id") != id_:
+        return False
+    return not classes or set(classes) <= set((attrs.get("class") or "").split())
+
+
 class _Page(html.parser.HTMLParser):
+    """Open elements with whether each is excluded; how many of them are, and are a title, body or head, is counted."""
+
     def __init__(self, selectors: tuple[str, ...], excluded: tuple[str, ...]):
         super().__init__(convert_charrefs=True)
-        self.selectors, self.excluded = selectors, excluded
+        self.selectors = selectors
+        self.names = frozenset(e for e in excluded if (_selector(e) or ("", "", ()))[1:] == ("", ()))
+        self.excluded = tuple(e for e in excluded if e not in self.names)
         self.title: list[str] = []
         self.meta: list[tuple[str | None, str | None, str]] = []
-        self.open: list[tuple[str, dict[str, str | None]]] = []
+        self.open: list[tuple[str, bool]] = []
+        self.within = {"title": 0, "body": 0, "head": 0}
+        self.hidden = 0
         self.parts: dict[str, list[list[str]]] = {s: [] for s in selectors}
         self.live: list[tuple[int, list[str]]] = []
         self.body: list[str] = []
 
-    @staticmethod
-    def matches(selector: str, tag: str, attrs: dict[str, str | None]) -> bool:
-        if m := re.fullmatch(r"(\w+)?(?:#([\w-]+))?((?:\.[\w-]+)*)", selector):
-            name, id_, classes = m.groups()
-            own = (attrs.get("class") or "").split()
-            return (not name or name == tag) and (not id_ or attrs.get("id") == id_) and all(c in own for c in classes.split(".") if c)
-        return False
-
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         given = dict(attrs)
         if tag == "meta" and given.get("content"):
@@ -69,10 +84,14 @@ class _Page(html.parser.HTMLParser):
         self._gap(tag)
         if tag in _VOID:
             return
-        self.open.append((tag, given))
-        if not self._hidden():
+        out = tag in self.names or any(matches(s, tag, given) for s in self.excluded)
+        self.open.append((tag, out))
+        self.hidden += out
+        if tag in self.within:
+            self.within[tag] += 1
+        if not self.hidden:
             for s in self.selectors:
-                if self.matches(s, tag, given):
+                if matches(s, tag, given):
                     self.parts[s].append([])
                     self.live.append((len(self.open), self.parts[s][-1]))
 
@@ -80,24 +99,26 @@ class _Page(html.parser.HTMLParser):
         self._gap(tag)
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
+                for name, out in self.open[i:]:
+                    self.hidden -= out
+                    if name in self.within:
+                        self.within[name] -= 1
                 del self.open[i:]
                 self.live = [x for x in self.live if x[0] <= i]
                 break
 
-    def _hidden(self) -> bool:
-        return any(self.matches(s, t, a) for t, a in self.open for s in self.excluded)
-
     def _gap(self, tag: str) -> None:
         if tag in _BLOCK:
-            for out in (self.body, *(x[1] for x in self.live)):
+            self.body.append(" ")
+            for _, out in self.live:
                 out.append(" ")
 
     def handle_data(self, data: str) -> None:
-        tags = [t for t, _ in self.open]
-        if "title" in tags and "body" not in tags:
+        if self.within["title"] and not self.within["body"]:
             self.title.append(data)
-        elif not self._hidden() and "head" not in tags:
-            for out in (self.body, *(x[1] for x in self.live)):
+        elif not self.hidden and not self.within["head"]:
+            self.body.append(data)
+            for _, out in self.live:
                 out.append(data)
 
 
