@@ -6,6 +6,7 @@ batches of queries go through numpy matrix products and keep k rows for each tas
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -181,14 +182,27 @@ def merge_queries(results: DataFrame, limit: int = 5, id_: str = "chunk_id") ->
     return results.groupBy(id_).agg(best.alias("b")).select(id_, "b.*").orderBy(F.desc("score"), id_).limit(_checked(limit))
 
 
+def generated_queries(query: str, generate: Callable[[str], str], most: int = 3) -> list[str]:
+    """The query, then the first most lines that generate makes of it, without numbering; the query alone if it fails."""
+    try:
+        lines = generate(query).split("\n")
+    except Exception:
+        return [query]
+    plain = (re.sub(r"^(?:\d+\.|[-*])\s*", "", line.strip()).strip() for line in lines)
+    return [query, *[x for x in plain if x][:most]]
+
+
 def multi_query(search: Callable[[str], DataFrame], queries: Sequence[str], limit: int = 5, id_: str = "chunk_id") -> DataFrame | None:
-    """search for each distinct query, the original first; None for a blank one."""
+    """search for each distinct query, the original first; None for a blank one. Variants that fail are left out."""
     asked = list(dict.fromkeys(q.strip()[:1000] for q in queries if q.strip()))
     if not asked or limit <= 0:
         return None
     out = search(asked[0])
     for q in asked[1:]:
-        out = out.unionByName(search(q))
+        try:
+            out = out.unionByName(search(q))
+        except Exception:  # noqa: BLE001 - the original query's results stand
+            continue
     return merge_queries(out, limit, id_)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from tessera.functions.embed import embed_cached
 from tessera.functions.filters import Fields, Filter, compile_filter, where
 from tessera.operators import chunking, context, fusion, retrieval, store, tenancy
 from tessera.schema import chunk_errors
-from tessera.sources.loaders import html_table
+from tessera.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,21 +121,6 @@ def token_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).agg(F.sum(T.token_count(F.col("content"))).alias("tokens"))
 
 
-@query("normalize_whitespace", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS content FROM documents")
-def normalize_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", T.normalize_whitespace(F.col("content")).alias("content"))
-
-
-@query("clean_for_embedding", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g')) AS content FROM documents")
-def clean_for_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", T.clean_for_embedding(F.col("content")).alias("content"))
-
-
-@query("word_count", r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INT AS words FROM documents")
-def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", T.word_count(F.col("content")).alias("words"))
-
-
 @query("preview", "SELECT doc_id, left(text, 100) || CASE WHEN length(text) > 100 THEN '...' ELSE '' END AS preview FROM documents")
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.preview(F.col("content"), 100).alias("preview"))
@@ -168,6 +154,17 @@ def _index(spark: SparkSession, sf_dir: str) -> retrieval.BM25:
     return retrieval.BM25.build(documents(spark, sf_dir), "doc_id")
 
 
+INDEXES: dict[tuple[str, str], retrieval.BM25] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> retrieval.BM25:
+    """The index as a service has it: written once for an application, in the shared folder, then searched by its postings."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in INDEXES:
+        INDEXES[key] = _index(spark, sf_dir).write(f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return INDEXES[key]
+
+
 @query("tokenize", f"SELECT doc_id, {TOKENS} AS tokens FROM documents")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.tokenize(F.col("content")).alias("tokens"))
@@ -238,11 +235,11 @@ def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "vector_topk_batch",
-    "SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, e.vec_id)::INT AS rank FROM embeddings e, embeddings q WHERE q.label = 0) s WHERE rank <= 5",
+    "SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, e.vec_id)::INT AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) s WHERE rank <= 5",
 )
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _embeddings(spark, sf_dir)
-    asked = e.where("label = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return retrieval.vector_topk_batch(e, asked, 5, "vec_id", "embedding").withColumn("score", rounded("score"))
 
 
@@ -272,13 +269,6 @@ def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit.select("vec_id", (F.col("i") + 1).alias("i"), rounded("x").alias("x"))
 
 
-@query("mmr_select")
-def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _first(spark, sf_dir)
-    near = retrieval.vector_topk(_embeddings(spark, sf_dir), q, 30, "vec_id", "embedding")
-    return retrieval.mmr(near, q, 10, 0.5, "vec_id", "embedding").withColumn("score", rounded("score"))
-
-
 @query("confidence_label", f"WITH {SCORED}, top AS (SELECT * FROM scored ORDER BY score DESC, vec_id LIMIT 5) SELECT round(avg(score), 6) AS mean_score, CASE WHEN avg(score) > 0.8 THEN 'high' WHEN avg(score) > 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM top")
 def confidence_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = retrieval.vector_topk(_embeddings(spark, sf_dir), _first(spark, sf_dir), 5, "vec_id", "embedding")
@@ -289,7 +279,7 @@ def confidence_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    index = _index(spark, sf_dir)
+    index = _stored(spark, sf_dir)
     return index.search(ASKED, 20), index.search(OTHER, 20)
 
 
@@ -315,7 +305,7 @@ for _method in PARTS:
 
 @query("multi_query_merge", f"WITH {LISTS}, m AS (SELECT doc_id, max(score) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id) SELECT doc_id, round(score, 6) AS score FROM m ORDER BY m.score DESC, doc_id LIMIT 10")
 def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
+    index = _stored(spark, sf_dir)
     return retrieval.multi_query(lambda q: index.search(q, 20), [ASKED, OTHER, ASKED], 10, "doc_id").select("doc_id", rounded("score").alias("score"))
 
 
@@ -333,7 +323,7 @@ def rerank_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("multi_index_search", f"WITH {POSTINGS}, {bm25_sql('hits', ASKED, None)} SELECT * FROM (SELECT lang, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id)::INT AS rank FROM hits JOIN documents USING (doc_id)) WHERE rank <= 3")
 def multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = _index(spark, sf_dir).scored(ASKED).join(docs.select("doc_id", "lang"), "doc_id")
+    found = _stored(spark, sf_dir).scored(ASKED).join(docs.select("doc_id", "lang"), "doc_id")
     return retrieval.multi_index(found, "lang", 3, "doc_id").select("lang", "doc_id", rounded("score").alias("score"), "rank")
 
 
@@ -484,33 +474,15 @@ def tenant_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenancy.restore(tenancy.isolate(rows, "acme"), "acme")
 
 
-@query("rate_limit_replay")
-def rate_limit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return tenancy.replay_rate_limit(events, "user_id", "ts", "event_id", 5, 1 / 3600).withColumn("tokens", rounded("tokens"))
-
-
 # pages and embeddings of texts
 
 
-@query("html_extract")
-def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_table(read(spark, sf_dir, "pages"))
-
-
 @query("embed_distinct_texts", "SELECT count(*) AS documents, count(DISTINCT text) AS embedded FROM documents")
 def embed_distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, new = embed_cached(documents(spark, sf_dir))
     return rows.agg(F.count("vector").alias("documents")).crossJoin(new.agg(F.count("vector").alias("embedded")))
 
 
-@query("ingest_rate_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
-def ingest_rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An extension: rates in tumbling windows, as the stream has them."""
-    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
-
-
 @query("batch_numbers", "SELECT doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 7)::BIGINT AS batch FROM documents")
 def batch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.batches(documents(spark, sf_dir), 7, "doc_id", "source").select("doc_id", "batch")
@@ -528,13 +500,6 @@ def flatten_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.element_at(M.flattened(F.col("props")), "k").alias("k"))
 
 
-@query("retrieve_namespaced", f"WITH {SCORED} SELECT vec_id, round(score, 6) AS score FROM scored WHERE label = 2 ORDER BY scored.score DESC, vec_id LIMIT 5")
-def retrieve_namespaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An agent's memory: the label as namespace."""
-    own = _embeddings(spark, sf_dir).where("label = 2")
-    return retrieval.vector_topk(own, _first(spark, sf_dir), 5, "vec_id", "embedding").select("vec_id", rounded("score").alias("score"))
-
-
 # the rest of the catalogue registers itself
 
-from tessera.plans import chunk_queries  # noqa: E402, F401
+from tessera.plans import chunk_queries, engine_queries, file_queries  # noqa: E402, F401
