@@ -94,9 +94,14 @@ class BM25:
 
     @staticmethod
     def build(chunks: DataFrame, id_: str = "chunk_id", content: str = "content", min_length: int = 3, stop_words: bool = True) -> BM25:
+        """The index of chunks, each of which has an id of its own."""
         tokens = chunks.select(id_, tokenize(F.col(content), min_length, stop_words).alias("tokens"))
         lengths = tokens.select(id_, F.size("tokens").alias("length"))
-        postings = tokens.select(id_, F.explode("tokens").alias("term")).groupBy(id_, "term").agg(F.count("*").alias("tf"))
+        # a chunk's terms are counted in its row: ends of runs in its sorted tokens, so nothing is shuffled
+        runs = tokens.select(id_, F.sort_array("tokens").alias("t"))
+        last = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i: ~F.get("t", i - 1).eqNullSafe(F.get("t", i)))
+        counted = F.transform("ends", lambda e, k: F.struct(F.get("t", e - 1).alias("term"), (e - F.coalesce(F.get("ends", k - 1), F.lit(0))).cast("bigint").alias("tf")))
+        postings = runs.where(F.size("t") > 0).select(id_, "t", last.alias("ends")).select(id_, F.explode(counted).alias("p")).select(id_, "p.term", "p.tf")
         return BM25(lengths, postings, id_, tokens)
 
     def persist(self) -> BM25:
@@ -122,7 +127,8 @@ class BM25:
         return BM25(left.lengths.unionByName(other.lengths), left.postings.unionByName(other.postings), self.id)
 
     def document_frequencies(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        rows = self.postings if self.tokens is None else self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term"))
+        return rows.groupBy("term").agg(F.count("*").alias("df"))
 
     def search(self, query: str, limit: int = 5, where: DataFrame | None = None, min_length: int = 3, stop_words: bool = True) -> DataFrame:
         """(id, score): terms of query count as often as they are in it; where: ids that may be returned. The weights

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,23 +46,29 @@ def counts(chunks: DataFrame) -> DataFrame:
 def replay_rate_limit(events: DataFrame, key: str, ts: str, id_: str, capacity: float, per_second: float) -> DataFrame:
     """(id, key, allowed, tokens): a token bucket for each key, full at first, over its events in the order of time.
 
-    One task replays a key, whose events are sorted in it: each step needs the one before, so a hot key is serial.
+    A task replays the keys it has, batch after batch of sorted events, and holds one bucket at a time. Each step needs
+    the one before, so a hot key is serial. Events without a key share a bucket.
     """
     kinds = dict(events.dtypes)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, id_])
-        refill = (rows[ts].diff().dt.total_seconds().fillna(0.0) * per_second).tolist()
-        left, allowed, tokens = float(capacity), [], []
-        for more in refill:
-            left = min(capacity, left + more)
-            ok = left >= 1
-            left -= ok
-            allowed.append(ok)
-            tokens.append(left)
-        return pd.DataFrame({id_: rows[id_], key: rows[key], "allowed": allowed, "tokens": tokens})
-
-    return events.select(id_, key, ts).groupBy(key).applyInPandas(run, f"{id_} {kinds[id_]}, {key} {kinds[key]}, allowed boolean, tokens double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, last, held = float(capacity), None, object()
+        for batch in batches:
+            names, at = batch.column(key).to_pylist(), batch.column("_us").to_pylist()
+            allowed, tokens = [], []
+            for name, now in zip(names, at, strict=True):
+                if name != held:
+                    left, held = float(capacity), name
+                elif now is not None and last is not None:
+                    left = min(capacity, left + (now - last) / 1e6 * per_second)
+                last, ok = now, left >= 1
+                left -= ok
+                allowed.append(ok)
+                tokens.append(left)
+            yield pa.RecordBatch.from_arrays([batch.column(id_), batch.column(key), pa.array(allowed, pa.bool_()), pa.array(tokens, pa.float64())], names=[id_, key, "allowed", "tokens"])
+
+    rows = events.select(id_, key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+    return rows.repartition(key).sortWithinPartitions(key, "_us", id_).mapInArrow(run, f"{id_} {kinds[id_]}, {key} {kinds[key]}, allowed boolean, tokens double")
 
 
 def bucket_function(capacity: float, per_second: float):
