@@ -31,6 +31,7 @@ from tessera.llm.common import TMP, checkpointed, table
 BROADCAST_ROWS = 500_000
 AT = TMP + "at"
 ROW = TMP + "row"
+KEY = TMP + "key"
 
 
 @dataclass(frozen=True)
@@ -63,16 +64,19 @@ def blobs(versions: DataFrame) -> DataFrame:
     return versions.where(F.col("text").isNotNull()).select("path", "version", F.sha2("text", 256).alias("blob"), F.xxhash64("path", "version").alias(AT))
 
 
+def _names(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted(r.rule_id for r in rules)
+
+
 def _unseen(found: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None) -> DataFrame:
-    """(blob, at, todo): of each blob with rules to run, one copy and the rules' ids."""
+    """(blob, at, todo): of each blob with rules to run, one copy; todo has a 1 or 0 for each rule in the order of names."""
     first = found.groupBy("blob").agg(F.min(AT).alias(AT))
-    every = F.array(*[F.lit(r.rule_id) for r in sorted(rules, key=lambda r: r.rule_id)]).cast("array<string>")
     if ledger is None:
-        return first.select("blob", AT, every.alias("todo"))
+        return first.select("blob", AT, F.lit("1" * len(rules)).alias("todo"))
     wanted = _ids(found.sparkSession, rules)
     done = ledger.select("blob", "rule_id", "rule_version").join(wanted, ["rule_id", "rule_version"], "left_semi").groupBy("blob").agg(F.collect_set("rule_id").alias("done"))
-    todo = F.array_except(every, F.coalesce("done", F.array().cast("array<string>")))
-    return first.join(done, "blob", "left").select("blob", AT, todo.alias("todo")).where(F.size("todo") > 0)
+    todo = F.concat(*[F.when(F.coalesce(F.array_contains("done", n), F.lit(False)), "0").otherwise("1") for n in _names(rules)])
+    return first.join(done, "blob", "left").select("blob", AT, todo.alias("todo")).where(F.contains("todo", F.lit("1")))
 
 
 def _ids(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
@@ -80,21 +84,26 @@ def _ids(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def _texts(versions: DataFrame, found: DataFrame, unseen: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(blob, todo, text) of the copies to scan."""
-    texts = versions.where(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("blob"), F.xxhash64("path", "version").alias(AT), "text")
+    """(blob, todo, text) of the copies to scan. A row of the lists takes some 190 bytes where it is broadcast."""
+    key = F.unhex("blob").alias(KEY), F.col(AT)
+    texts = versions.where(F.col("text").isNotNull()).select(F.unhex(F.sha2("text", 256)).alias(KEY), F.xxhash64("path", "version").alias(AT), "text")
     n, due = unseen.count(), [r[0] for r in unseen.select("todo").distinct().limit(2).collect()]
     if len(due) == 1 and found.count() - n <= min(n, broadcast_rows):
-        rest = found.select("blob", AT).join(unseen, ["blob", AT], "left_anti")
-        return texts.join(F.broadcast(rest), ["blob", AT], "left_anti").select("blob", F.array(*map(F.lit, due[0])).alias("todo"), "text")
-    wanted = F.broadcast(unseen) if n <= broadcast_rows else unseen.hint("shuffle_hash")
-    return texts.join(wanted, ["blob", AT]).select("blob", "todo", "text")
+        rest = found.select(*key).join(unseen.select(*key), [KEY, AT], "left_anti")
+        chosen = texts.join(F.broadcast(rest), [KEY, AT], "left_anti").withColumn("todo", F.lit(due[0]))
+    else:
+        wanted = unseen.select(*key, "todo")
+        chosen = texts.join(F.broadcast(wanted) if n <= broadcast_rows else wanted.hint("shuffle_hash"), [KEY, AT])
+    return chosen.select(F.lower(F.hex(KEY)).alias("blob"), "todo", "text")
 
 
 def scan_texts(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Findings in (blob, todo, text)."""
 
+    place = {name: i for i, name in enumerate(_names(rules), 1)}
+
     def of(rule: Rule):
-        due = F.array_contains("todo", rule.rule_id)
+        due = F.substring("todo", place[rule.rule_id], 1) == "1"
         if rule.needle:
             due &= F.contains("text", F.lit(rule.needle))
         hits = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(1))
@@ -119,7 +128,8 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
     wanted = _ids(versions.sparkSession, rules)
     every = new if findings is None else new.unionByName(findings.join(wanted, ["rule_id", "rule_version"], "left_semi").select(new.columns)).distinct()
     report = found.join(every, "blob").select("path", "version", "blob", "rule_id", "rule_version", "secret_sha256", "n")
-    pairs = unseen.select("blob", F.explode("todo").alias("rule_id")).join(wanted, "rule_id").select("blob", "rule_id", "rule_version")
+    due = F.filter(F.array(*[F.when(F.substring("todo", i, 1) == "1", n) for i, n in enumerate(_names(rules), 1)]), lambda n: n.isNotNull())
+    pairs = unseen.select("blob", F.explode(due).alias("rule_id")).join(wanted, "rule_id").select("blob", "rule_id", "rule_version")
     return report, pairs, new
 
 
