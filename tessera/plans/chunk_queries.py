@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking
-from tessera.plans.queries import documents, query, read
-
-#: White space of any kind as a class of DuckDB's patterns.
-SPACE = r"[\x09-\x0d \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+from tessera.plans.queries import SPACE, documents, query, read
 
 
 def stripped(x: str) -> str:

@@ -14,8 +14,7 @@ from tessera.functions.filters import where
 from tessera.operators import context, fusion, jobs, retrieval, store, tenancy
 from tessera.operators.ann import IVF
 from tessera.plans import rag
-from tessera.plans.queries import ASKED, OTHER, POSTINGS, SCORED, bm25_sql, documents, query, read, rounded
-from tessera.plans.chunk_queries import SPACE
+from tessera.plans.queries import ASKED, OTHER, POSTINGS, SCORED, SPACE, bm25_sql, documents, query, read, rounded
 from tessera.schema import chunk_id
 from tessera.session import shared_folder
 

@@ -22,6 +22,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: White space of any kind as a class of DuckDB's patterns.
+SPACE = r"[\x09-\x0d \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
@@ -500,6 +503,6 @@ def flatten_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.element_at(M.flattened(F.col("props")), "k").alias("k"))
 
 
-# the rest of the catalogue registers itself
+# the rest of the catalogue registers itself; Python workers may import any of these first, so they share only what stands above
 
 from tessera.plans import chunk_queries, engine_queries, file_queries  # noqa: E402, F401

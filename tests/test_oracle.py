@@ -1,6 +1,8 @@
 """Every query of the catalogue against DuckDB on the same files, or for rows where SQL has none."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -41,3 +43,9 @@ def test_entry(spark):
     got = __spark_entry__.entry(spark)
     assert got.columns == ["chunk_id", "document_id", "chunk_index", "content", "score"] and got.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and set(QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("first", ["chunk_queries", "engine_queries", "file_queries", "queries"])
+def test_a_worker_may_import_any_part_first(first):
+    code = f"import tessera.plans.{first}; from tessera.plans.queries import QUERIES; assert len(QUERIES) > 100"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(__spark_entry__.__file__))
