@@ -9,7 +9,7 @@
    share the feature of least hash, is split by ``FRESH`` other MinHash values in the same manner, and its parts once
    more. What is still larger, a crowd of much the same text, is split evenly by the hash of the node, with ``ANCHORS``
    or so of its nodes in every part, by which the parts of the crowd are linked. So no shard has more than
-   2 * SHARD + ANCHORS nodes or so, whatever the input.
+   2 * SHARD + ANCHORS nodes or so, whatever the input; pairs that splits part are met in step 6.
 3. In each shard, groups of ``CROWD`` nodes or more that are all near copies of one of them beyond doubt are linked with it,
    and compared with all others block by block; a crowd costs no more than its number. Of the rest a graph
    (hamming_graph.py) is searched by all its nodes, within a Hamming radius. Searches start from all nodes that share one
@@ -17,10 +17,12 @@
    spanning forest of greatest similarity by sketch, down to ``similar`` - BELOW, never more rows than it has nodes.
 4. Each edge is verified. One of an estimate of ``similar`` + ABOVE, four standard deviations off, is taken; of all
    others the Jaccard similarity is computed from the hashes of all features of both texts, and has to be ``similar``.
-   (As a forest of greatest similarity holds the best link between any two parts of a shard, an edge that is refused
-   has hardly ever one in its place that would not be.)
-5. The connected components of the verified edges are found by alternating star contractions. Of each the smallest
-   doc_id stays.
+5. The connected components of the verified edges are found by alternating star contractions.
+6. What splits and forests have left out is done in full: of the nodes of each shard that was split, as it was before,
+   and of each tree with an edge refused, all pairs of different components within the radius are compared by all
+   features, in blocks of REST nodes on either side. Nodes of a group's largest component are laid beside the others
+   only, so a crowd that is linked costs no more than its number; one that is not costs the square of it.
+   Of each component then the smallest doc_id stays.
 
 ``audit`` measures recall against exact search for a sample of queries over all nodes.
 
@@ -59,6 +61,8 @@ LAYOUTS = 6
 FRESH, DEPTH = 3, 2
 LANES = LAYOUTS + FRESH * DEPTH
 ANCHORS = 256
+#: Nodes on either side of a block in which what the shards have left is compared.
+REST = 1 << 10
 #: Near copies of one node that are a crowd.
 CROWD = 64
 #: Pairs that are verified at once.
@@ -222,8 +226,8 @@ def _router(count: int, again: list[dict[int, tuple[int, int]]], crowds: dict[in
     return route
 
 
-def routed(nodes: DataFrame, shard: int) -> DataFrame:
-    """(shard, node, sig, sketch): each node with all shards that it is in."""
+def _plan(nodes: DataFrame, shard: int) -> tuple[int, list[dict[int, tuple[int, int]]], dict[int, tuple[int, int, int]]]:
+    """How nodes are routed: the arguments of _router but the columns."""
     count = max(8, math.ceil(nodes.count() / shard))
     base, again, crowds = LAYOUTS * count, [], {}
 
@@ -239,7 +243,16 @@ def routed(nodes: DataFrame, shard: int) -> DataFrame:
     for at, n in hot:
         crowds[at] = base, math.ceil(n / shard), n
         base += crowds[at][1]
-    return nodes.mapInArrow(_router(count, again, crowds, ("node", "sig", "sketch")), "shard long, node long, sig binary, sketch binary")
+    return count, again, crowds
+
+
+def routed(nodes: DataFrame, shard: int) -> DataFrame:
+    """(shard, node, sig, sketch): each node with all shards that it is in."""
+    return _routed(nodes, _plan(nodes, shard))
+
+
+def _routed(nodes: DataFrame, plan: tuple) -> DataFrame:
+    return nodes.mapInArrow(_router(*plan, ("node", "sig", "sketch")), "shard long, node long, sig binary, sketch binary")
 
 
 def _crowds(sig: np.ndarray, sketch: np.ndarray, radius: int, similar: float) -> np.ndarray:
@@ -306,9 +319,22 @@ def _links(sig: np.ndarray, sketch: np.ndarray, radius: int, least: float, sure:
     return a[best], b[best], w[best]
 
 
-def edges(nodes: DataFrame, radius: int = RADIUS, similar: float = SIMILAR, shard: int = SHARD) -> DataFrame:
-    """(a, b, alike): for each shard the spanning forest of greatest similarity by sketch, of pairs that may be similar;
-    nodes: (node, sig, sketch, least), computed."""
+def _trees(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of the tree of each edge (a, b) of a forest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while ((deep := label[label]) != label).any():
+            label = deep
+    return nodes[label[x]]
+
+
+def edges(nodes: DataFrame, plan: tuple, radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
+    """(a, b, alike, shard, tree): for each shard the spanning forest of greatest similarity by sketch, of pairs that may
+    be similar; tree: the least node of the edge's tree. nodes: (node, sig, sketch, least), computed; plan: of _plan."""
 
     def search(rows: pa.Table) -> pa.Table:
         node = rows.column("node").to_numpy()
@@ -316,19 +342,15 @@ def edges(nodes: DataFrame, radius: int = RADIUS, similar: float = SIMILAR, shar
         node, sig, sketch = node[order], _rows(rows.column("sig"), np.uint64, 4)[order], _rows(rows.column("sketch"), np.uint16, BINS)[order]
         x, y, alike = _links(sig, sketch, radius, similar - BELOW, similar + ABOVE)
         a, b = node[np.maximum(x, y)], node[np.minimum(x, y)]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "alike": pa.array(alike, pa.float64())})
+        shard = rows.column("shard").slice(0, 1).to_pylist() * len(a)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "alike": pa.array(alike, pa.float64()), "shard": pa.array(shard, pa.int64()), "tree": pa.array(_trees(a, b), pa.int64())})
 
-    return routed(nodes, shard).groupBy("shard").applyInArrow(search, "a long, b long, alike double")
+    return _routed(nodes, plan).groupBy("shard").applyInArrow(search, "a long, b long, alike double, shard long, tree long")
 
 
-def _exact(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """Those of the distinct pairs (a, b) of doc_ids, computed, whose features have a Jaccard similarity of ``similar``.
-
-    Only features of documents in such pairs are moved: once for their own pairs, by a node and SALT of its pairs, and
-    once for each pair."""
+def _featured(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows of ends, computed, of a doc_id each, with the hashes of all features of their texts; computed."""
     spark = docs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.ceil(F.count("*") / SALT).alias("lots"))
-    ends = checkpointed(ends)
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
     words = ends.select(bit.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP // 64, np.int64)
@@ -351,7 +373,17 @@ def _exact(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
 
     some = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = some.select("doc_id", "text", bit.alias("h")).mapInArrow(run, "doc_id long, features array<long>").join(ends, "doc_id")
-    features = checkpointed(features.select("doc_id", "features", "lots"))
+    return checkpointed(features)
+
+
+def _exact(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) of doc_ids, computed, whose features have a Jaccard similarity of ``similar``.
+
+    Only features of documents in such pairs are moved: once for their own pairs, by a node and SALT of its pairs, and
+    once for each pair."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.ceil(F.count("*") / SALT).alias("lots"))
+    ends = checkpointed(ends)
+    features = _featured(docs, ends)
     salted = features.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("salt"), "features")
     lots = ends.select(F.col("doc_id").alias("node"), "lots")
     both = pairs.join(lots.toDF("a", "la"), "a").join(lots.toDF("b", "lb"), "b")
@@ -389,6 +421,130 @@ def components(pairs: DataFrame) -> DataFrame:
         sign = new
 
 
+def _apart(sig: np.ndarray, label: np.ndarray, right: np.ndarray, radius: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a block within the radius, of different labels (which may change meanwhile), by some nodes of the left
+    side at a time: with nodes of the right one, or with each other if it is the block's own."""
+    left = np.flatnonzero(~right)
+    other = left if own else np.flatnonzero(right)
+    for k in range(0, len(left), 256):
+        some = left[k : k + 256]
+        to = other[k + 1 :] if own else other
+        if len(to) and (label[some][:, None] != label[to]).any():
+            d = sum(np.bitwise_count(sig[some, w][:, None] ^ sig[to, w][None]).astype(np.uint16) for w in range(4))
+            x, y = np.nonzero((d <= radius) & (label[some][:, None] != label[to]))
+            x, y = some[x], to[y]
+            x, y = (x[x < y], y[x < y]) if own else (x, y)
+            if len(x):
+                yield x, y
+
+
+def _confirmed(sig: np.ndarray, root: np.ndarray, right: np.ndarray, code: np.ndarray, start: np.ndarray, radius: int, similar: float, own: bool) -> list[tuple[int, int]]:
+    """Pairs of different roots that join all nodes of a block that are linked: within the radius and ``similar`` by all
+    features, which are code[start[i] : start[i + 1]] of node i, as numbers."""
+    label, size, out = root.copy(), np.diff(start), []
+    mark = np.zeros(int(code.max(initial=-1)) + 1, bool)
+    for x, y in _apart(sig, label, right, radius, own):
+        own_x, first = np.unique(x, return_index=True)
+        for one, ys in zip(own_x.tolist(), np.split(y, first[1:]), strict=True):
+            ys = ys[label[ys] != label[one]]
+            ys = ys[(size[ys] >= similar * size[one]) & (size[one] >= similar * size[ys])]
+            mark[code[start[one] : start[one + 1]]] = True
+            for k in range(0, len(ys), 256):
+                part = ys[k : k + 256]
+                bounds = np.append(0, np.cumsum(size[part]))
+                at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - start[part], size[part])
+                shared = np.add.reduceat(mark[code[at]], bounds[:-1], dtype=np.int64)
+                linked = np.unique(label[part[shared >= similar * (size[one] + size[part] - shared)]])
+                linked = linked[linked != label[one]]
+                out += [(max(int(label[one]), r), min(int(label[one]), r)) for r in linked.tolist()]
+                label[np.isin(label, linked)] = label[one]
+            mark[code[start[one] : start[one + 1]]] = False
+    return out
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (shard, tree, node, root) of groups in blocks (shard, tree, main, i, j), of REST nodes or so on either side
+    (right or not), so that each two of a group that differ in root meet in one: those of its most frequent root, if
+    they are many, are only laid beside the others."""
+    group = ["shard", "tree"]
+    sizes = members.groupBy(*group, "root").agg(F.count("*").alias("n")).groupBy(*group)
+    sizes = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("big"), F.sum("n").alias("all"))
+    few = F.col("all") <= 2 * REST
+    sizes = sizes.where("all > big").select(
+        *group,
+        F.when(~few, F.col("most")).alias("most"),
+        F.when(few, 1).otherwise(F.ceil((F.col("all") - F.col("big")) / REST)).alias("lots"),
+        F.when(few, 0).otherwise(F.ceil(F.col("big") / REST)).alias("mains"),
+    )
+    hashed = F.xxhash64("node", F.lit(7))
+    rows = members.join(sizes, group).withColumn("is_main", F.coalesce(F.col("root") == F.col("most"), F.lit(False)))
+    rows = rows.withColumn("p", F.pmod(hashed, F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("lots"))))
+    place = "named_struct('main', {}, 'i', {}, 'j', {}, 'right', {})".format
+    beside = f"transform(sequence(0L, lots - 1), q -> {place('true', 'q', 'p', 'true')})"
+    each = f"transform(sequence(0L, lots - 1), q -> {place('false', 'least(p, q)', 'greatest(p, q)', 'p > q')})"
+    main = f"transform(filter(sequence(0L, mains), q -> q < mains), q -> {place('true', 'p', 'q', 'false')})"
+    rows = rows.withColumn("at", F.explode(F.expr(f"if(is_main, {beside}, concat({each}, {main}))")))
+    return rows.select(*group, "at.main", "at.i", "at.j", "at.right", "node", "root")
+
+
+def _rest(docs: DataFrame, nodes: DataFrame, members: DataFrame, radius: int, similar: float) -> DataFrame:
+    """Pairs (a, b) of roots that join all members (shard, tree, node, root), computed, of a group that are linked: each
+    two of a group that differ in root and lie within the radius are compared by all features, however many they are."""
+    block = ["shard", "tree", "main", "i", "j"]
+
+    def read(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        one = rows.slice(0, 1).to_pylist()[0]
+        return _rows(rows.column("sig"), np.uint64, 4), rows.column("root").to_numpy(), rows.column("right").to_numpy(), not one["main"] and one["i"] == one["j"]
+
+    def near(rows: pa.Table) -> pa.Table:
+        sig, root, right, own = read(rows)
+        some = np.zeros(len(sig), bool)
+        for x, y in _apart(sig, root, right, radius, own):
+            some[x] = some[y] = True
+        return rows.filter(pa.array(some))
+
+    def confirm(rows: pa.Table) -> pa.Table:
+        sig, root, right, own = read(rows)
+        lists = rows.column("features").combine_chunks()
+        start = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        code = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        pairs = np.array(_confirmed(sig, root, right, code, start, radius, similar, own), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    rows = _blocks(members).join(nodes.select("node", "sig"), "node").select(*block, "right", "node", "root", "sig")
+    rows = checkpointed(rows.groupBy(*block).applyInArrow(near, rows.schema))
+    if rows.isEmpty():
+        return rows.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    features = _featured(docs, checkpointed(rows.select(F.col("node").alias("doc_id")).distinct()))
+    rows = rows.join(features.select(F.col("doc_id").alias("node"), "features"), "node")
+    return checkpointed(rows.groupBy(*block).applyInArrow(confirm, "a long, b long"))
+
+
+def _roots(docs: DataFrame, nodes: DataFrame, radius: int, similar: float, shard: int) -> DataFrame:
+    """(node, root) of the nodes, computed, that are linked with a smaller one: root is the least of all linked."""
+    plan = _plan(nodes, shard)
+    found = checkpointed(edges(nodes, plan, radius, similar))
+    links = checkpointed(verified(docs, found, similar))
+    roots = components(links)
+    # groups in which links may be left: shards that were split, and trees of three nodes or more with an edge refused
+    hot = sorted(set().union(plan[2], *plan[1][:1]) & set(range(LAYOUTS * plan[0])))
+    group = ["shard", "tree"]
+    refused = found.where(F.col("alike") < similar + ABOVE).join(links, ["a", "b"], "left_anti").select(*group).distinct()
+    opened = found.groupBy(*group).count().where("count > 1").join(refused, group, "left_semi")
+    members = found.join(opened, group, "left_semi").select(*group, F.explode(F.array("a", "b")).alias("node")).distinct()
+    if hot:
+        split = nodes.mapInArrow(_router(plan[0], [], {}, ("node",)), "shard long, node long").where(F.col("shard").isin(hot))
+        members = members.unionByName(split.select((-1 - F.col("shard")).alias("shard"), F.lit(0).cast("long").alias("tree"), "node"))
+    members = members.join(roots, "node", "left")
+    members = checkpointed(members.select(*group, "node", F.coalesce("root", "node").alias("root")))
+    more = _rest(docs, nodes, members, radius, similar)
+    if more.isEmpty():
+        return roots
+    more = components(more)
+    old = roots.join(more.toDF("root", "least"), "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+    return checkpointed(old.unionByName(more))
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR, shard: int = SHARD) -> DataFrame:
     """(doc_id, keep) of each document that has a smaller near copy, or one it is linked with: keep is the one that stays."""
     return _groups(docs, checkpointed(signed(docs)), radius, similar, shard)
@@ -397,7 +553,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR, shar
 def _groups(docs: DataFrame, signs: DataFrame, radius: int, similar: float, shard: int) -> DataFrame:
     grouped = signs.groupBy("sig", "sketch").agg(F.min("doc_id").alias("node"), F.min_by("least", "doc_id").alias("least"))
     nodes = checkpointed(grouped.select("node", "sig", "sketch", "least"))
-    roots = components(verified(docs, checkpointed(edges(nodes, radius, similar, shard)), similar))
+    roots = _roots(docs, nodes, radius, similar, shard)
     of = signs.join(nodes, ["sig", "sketch"]).select("doc_id", "node").join(roots, "node", "left")
     return of.select("doc_id", F.coalesce("root", "node").alias("keep")).where("doc_id <> keep")
 
@@ -434,7 +590,7 @@ def audit(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR, queri
                 yield pa.RecordBatch.from_arrays([pa.array(node[x[near]]), pa.array(other[y[near]]), pa.array(alike[near])], names=["a", "b", "alike"])
 
     true = verified(docs, checkpointed(nodes.select("node", "sig", "sketch").mapInArrow(exact, "a long, b long, alike double")), similar)
-    roots = checkpointed(components(verified(docs, checkpointed(edges(nodes, radius, similar)), similar)))
+    roots = _roots(docs, nodes, radius, similar, SHARD)
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     both = true.join(ra, "a", "left").join(rb, "b", "left").select((F.coalesce("ra", "a") == F.coalesce("rb", "b")).cast("int").alias("ok"))
     n, ok = both.agg(F.count("*"), F.sum("ok")).first()

@@ -273,3 +273,33 @@ def test_no_pair_alike_by_sketch_is_lost_in_a_shard(share):
     ok = S.similarity(sketch[x], sketch[y]) >= S.SIMILAR
     want = set(zip(x[ok].tolist(), y[ok].tolist(), strict=True))
     assert want <= set(zip(left.tolist(), right.tolist(), strict=True)) and len(want) > 4000
+
+
+def test_a_refused_edge_leaves_room_for_a_lesser_one(spark):
+    # by sketch the first text is nearer to the third (similar by 0.492) than the second is (by 0.504)
+    base = [f"b{k}" for k in range(90)]
+    same = 61 + int(np.random.default_rng(196).integers(0, 3))
+    texts = [[f"u196x{k}" for k in range(4)] + base, base + ["v196x0"], base[:same] + [f"w196x{k}" for k in range(28)]]
+    texts = [" ".join(t) for t in texts]
+    sets = [shingles(t) for t in texts]
+    assert len(sets[0] & sets[2]) < S.SIMILAR * len(sets[0] | sets[2]) and len(sets[1] & sets[2]) >= S.SIMILAR * len(sets[1] | sets[2])
+    sig, sketch = S.signatures(pa.array(texts, pa.large_string()))
+    assert S.similarity(sketch[:1], sketch[2:])[0] > S.similarity(sketch[1:2], sketch[2:])[0] and distance(sig[1], sig[2]) <= S.RADIUS
+    docs = spark.createDataFrame(cases.rows(texts), cases.SCHEMA)
+    assert [r.doc_id for r in S.near_dedup(docs).collect()] == [0]
+
+
+@pytest.mark.parametrize("n", [3, 600])
+def test_blocks_hold_all_pairs_that_differ_in_root(spark, n, monkeypatch):
+    monkeypatch.setattr(S, "REST", max(1, n // 16))
+    rows = [(s, 0, i, 0 if i % 3 else i) for s in (1, 2) for i in range(n // s)] + [(3, 0, i, 0) for i in range(9)]
+    got = S._blocks(spark.createDataFrame(rows, "shard long, tree long, node long, root long")).collect()
+    block, seen = {}, {1: set(), 2: set()}
+    for r in got:
+        block.setdefault((r.shard, r.main, r.i, r.j), ([], []))[r.right].append(r.node)
+    for (s, main, i, j), (a, b) in block.items():
+        assert max(len(a), len(b)) <= 2 * max(1, n // 16) * 1.5
+        seen[s] |= {(min(p), max(p)) for x in a for p in ((x, y) for y in (a if not main and i == j else b))}
+    root = lambda i: 0 if i % 3 else i
+    for s in (1, 2):
+        assert {(x, y) for x in range(0, n // s, 7) for y in range(x + 1, n // s) if root(x) != root(y)} <= seen[s]
