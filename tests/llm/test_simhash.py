@@ -289,6 +289,23 @@ def test_a_refused_edge_leaves_room_for_a_lesser_one(spark):
     assert [r.doc_id for r in S.near_dedup(docs).collect()] == [0]
 
 
+def test_shards_that_are_split_lose_no_link(spark):
+    # most texts share the least hashes, by a passage: pairs of a similarity of 0.61 among texts of 0.41
+    passage = [f"p{k}" for k in range(50)]
+    texts = [" ".join(passage + [f"o{i // 2}x{k}" for k in range(14)] + [f"o{i}y{k}" for k in range(20)]) for i in range(700)]
+    texts = [texts[i] for i in np.random.default_rng(50).permutation(len(texts))]
+    pair = {}
+    for i, t in enumerate(texts):
+        pair.setdefault(re.search(r"o(\d+)x", t)[1], []).append(i)
+    docs = spark.createDataFrame(cases.rows(texts), cases.SCHEMA)
+    signs = S.signed(docs).withColumnRenamed("doc_id", "node")
+    assert S._plan(signs, 16)[1] and len(pair) == 350
+    got = {i: i for i in range(len(texts))} | {r.doc_id: r.keep for r in S.groups(docs, shard=16).collect()}
+    sig, _ = S.signatures(pa.array(texts, pa.large_string()))
+    want = {i: i for i in got} | {max(p): min(p) for p in pair.values() if distance(sig[p[0]], sig[p[1]]) <= S.RADIUS}
+    assert got == want
+
+
 @pytest.mark.parametrize("n", [3, 600])
 def test_blocks_hold_all_pairs_that_differ_in_root(spark, n, monkeypatch):
     monkeypatch.setattr(S, "REST", max(1, n // 16))
