@@ -9,7 +9,7 @@
    share the feature of least hash, is split by ``FRESH`` other MinHash values in the same manner, and its parts once
    more. What is still larger, a crowd of much the same text, is split evenly by the hash of the node, with ``ANCHORS``
    or so of its nodes in every part, by which the parts of the crowd are linked. So no shard has more than
-   2 * SHARD + ANCHORS nodes or so, whatever the input; pairs that splits part are met in step 6.
+   2 * SHARD + ANCHORS nodes or so, whatever the input; pairs that shards or splits part are met in step 6.
 3. In each shard, groups of ``CROWD`` nodes or more that are all near copies of one of them beyond doubt are linked with it,
    and compared with all others block by block; a crowd costs no more than its number. Of the rest a graph
    (hamming_graph.py) is searched by all its nodes, within a Hamming radius. Searches start from all nodes that share one
@@ -18,10 +18,12 @@
 4. Each edge is verified. One of an estimate of ``similar`` + ABOVE, four standard deviations off, is taken; of all
    others the Jaccard similarity is computed from the hashes of all features of both texts, and has to be ``similar``.
 5. The connected components of the verified edges are found by alternating star contractions.
-6. What splits and forests have left out is done in full: of the nodes of each shard that was split, as it was before,
-   and of each tree with an edge refused, all pairs of different components within the radius are compared by all
-   features, in blocks of REST nodes on either side. Nodes of a group's largest component are laid beside the others
-   only, so a crowd that is linked costs no more than its number; one that is not costs the square of it.
+6. What shards, splits, sketches and forests have left out is done in full, over all nodes (``_missed``). If all texts
+   have their features in order of frequency, rarest first, then two of similarity ``similar`` have one in common among
+   the first n - ceil(similar * n) + 1 of each, n its number. Nodes of different components that share such a feature
+   are compared, within the radius by all features: as pairs, or where OFTEN nodes or more have the feature, in blocks
+   of REST nodes on either side. Nodes of a block's largest component are laid beside the others only, so a crowd that
+   is linked costs no more than its number; one that is not costs the square of it.
    Of each component then the smallest doc_id stays.
 
 ``audit`` measures recall against exact search for a sample of queries over all nodes.
@@ -35,7 +37,7 @@ empty input gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,10 @@ LANES = LAYOUTS + FRESH * DEPTH
 ANCHORS = 256
 #: Nodes on either side of a block in which what the shards have left is compared.
 REST = 1 << 10
+#: Features that one task counts; a slice of documents sends half as many at once.
+PART = 1 << 20
+#: Nodes with a feature from which they are compared in blocks and not as pairs.
+OFTEN = 64
 #: Near copies of one node that are a crowd.
 CROWD = 64
 #: Pairs that are verified at once.
@@ -103,11 +109,16 @@ def _features(words: Words, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.
 
 def _signatures(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Those of signatures, and (n, LANES) MinHash values of 64 bits: of the least hashes, then of the greatest."""
+    return _measured(texts)[:3]
+
+
+def _measured(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Those of _signatures, and the number of features."""
     n = len(texts)
     doc, feature = _features(Words(texts), texts)
     sketch = np.full((n, BINS), 0xFFFF, np.uint16)
     if not n:
-        return np.zeros((0, 4), np.uint64), sketch, np.zeros((0, LANES), np.int64)
+        return np.zeros((0, 4), np.uint64), sketch, np.zeros((0, LANES), np.int64), np.zeros(0, np.int64)
     start = np.searchsorted(doc, np.arange(n + 1))  # each text has a feature at least
     bin_ = (feature >> np.uint64(58)).astype(np.int64)
     first = np.append(True, (doc[1:] != doc[:-1]) | (bin_[1:] != bin_[:-1]))
@@ -132,7 +143,7 @@ def _signatures(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.
     least, most = np.minimum.reduceat(least, np.cumsum(runs) - runs, axis=0), np.maximum.reduceat(most, np.cumsum(runs) - runs, axis=0)
     total = np.add.reduceat(ones, np.cumsum(runs) - runs, axis=0, dtype=np.int64)
     sig = np.packbits(2 * total > size[:, None], axis=1).view(np.uint64)
-    return sig, sketch, mix(np.concatenate([least, most], axis=1)).view(np.int64)
+    return sig, sketch, mix(np.concatenate([least, most], axis=1)).view(np.int64), size
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,18 +161,18 @@ def _rows(column: pa.Array | pa.ChunkedArray, kind: type, width: int) -> np.ndar
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig, sketch, least) of the documents with an id and a text."""
+    """(doc_id, sig, sketch, least, size) of the documents with an id and a text; size: the number of features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            sig, sketch, least = _signatures(utf8(part.column("text")))
+            sig, sketch, least, size = _measured(utf8(part.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * LANES), pa.array(least.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _fixed(sig, 32), _fixed(sketch, 2 * BINS), lists], names=["doc_id", "sig", "sketch", "least"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _fixed(sig, 32), _fixed(sketch, 2 * BINS), lists, pa.array(size)], names=["doc_id", "sig", "sketch", "least", "size"])
 
     if type_of(docs, "doc_id") not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError("doc_id must be an integer here: it numbers the nodes")
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.col("text") != ""))
-    return some.mapInArrow(run, "doc_id long, sig binary, sketch binary, least array<long>")
+    return some.mapInArrow(run, "doc_id long, sig binary, sketch binary, least array<long>, size long")
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -319,22 +330,9 @@ def _links(sig: np.ndarray, sketch: np.ndarray, radius: int, least: float, sure:
     return a[best], b[best], w[best]
 
 
-def _trees(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least node of the tree of each edge (a, b) of a forest."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
-    while (label[x] != label[y]).any():
-        low = np.minimum(label[x], label[y])
-        np.minimum.at(label, label[x], low)
-        np.minimum.at(label, label[y], low)
-        while ((deep := label[label]) != label).any():
-            label = deep
-    return nodes[label[x]]
-
-
 def edges(nodes: DataFrame, plan: tuple, radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
-    """(a, b, alike, shard, tree): for each shard the spanning forest of greatest similarity by sketch, of pairs that may
-    be similar; tree: the least node of the edge's tree. nodes: (node, sig, sketch, least), computed; plan: of _plan."""
+    """(a, b, alike): for each shard the spanning forest of greatest similarity by sketch, of pairs that may be similar.
+    nodes: (node, sig, sketch, least), computed; plan: of _plan."""
 
     def search(rows: pa.Table) -> pa.Table:
         node = rows.column("node").to_numpy()
@@ -342,20 +340,18 @@ def edges(nodes: DataFrame, plan: tuple, radius: int = RADIUS, similar: float =
         node, sig, sketch = node[order], _rows(rows.column("sig"), np.uint64, 4)[order], _rows(rows.column("sketch"), np.uint16, BINS)[order]
         x, y, alike = _links(sig, sketch, radius, similar - BELOW, similar + ABOVE)
         a, b = node[np.maximum(x, y)], node[np.minimum(x, y)]
-        shard = rows.column("shard").slice(0, 1).to_pylist() * len(a)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "alike": pa.array(alike, pa.float64()), "shard": pa.array(shard, pa.int64()), "tree": pa.array(_trees(a, b), pa.int64())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "alike": pa.array(alike, pa.float64())})
 
-    return _routed(nodes, plan).groupBy("shard").applyInArrow(search, "a long, b long, alike double, shard long, tree long")
+    return _routed(nodes, plan).groupBy("shard").applyInArrow(search, "a long, b long, alike double")
 
 
-def _featured(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """The rows of ends, computed, of a doc_id each, with the hashes of all features of their texts; computed."""
-    spark = docs.sparkSession
+def _chosen(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, Callable]:
+    """(doc_id, text, h) of docs, and an Arrow function that leaves out most rows of it whose doc_id is not in ids."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
-    words = ends.select(bit.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits")).toArrow()
+    words = ids.select(bit.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP // 64, np.int64)
     bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    sent = spark.sparkContext.broadcast(bitmap)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,6 +360,14 @@ def _featured(docs: DataFrame, ends: DataFrame) -> DataFrame:
             if some.num_rows:
                 yield some
 
+    some = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return some.select("doc_id", "text", bit.alias("h")), needed
+
+
+def _featured(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows of ends, computed, of a doc_id each, with the hashes of all features of their texts; computed."""
+    some, needed = _chosen(docs, ends)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(needed(batches), "text"):
             texts = utf8(part.column("text"))
@@ -371,9 +375,7 @@ def _featured(docs: DataFrame, ends: DataFrame) -> DataFrame:
             start = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(start), pa.array(feature.view(np.int64)))], names=["doc_id", "features"])
 
-    some = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = some.select("doc_id", "text", bit.alias("h")).mapInArrow(run, "doc_id long, features array<long>").join(ends, "doc_id")
-    return checkpointed(features)
+    return checkpointed(some.mapInArrow(run, "doc_id long, features array<long>").join(ends, "doc_id"))
 
 
 def _exact(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
@@ -520,24 +522,140 @@ def _rest(docs: DataFrame, nodes: DataFrame, members: DataFrame, radius: int, si
     return checkpointed(rows.groupBy(*block).applyInArrow(confirm, "a long, b long"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Features of documents in slices, cut by parts of the features' range: rows (slice, part, n, idx, value), with the
+    document's place in the slice (16 bits) and the rest of the feature (32 bits). A slice also has a row of a negative
+    part, with the ids and sizes of its documents and the number n of its other rows."""
+    ids, doc, feature, count = [], [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        own, at, code = np.concatenate(ids), np.concatenate(doc), np.concatenate(feature)
+        part = code >> np.uint64(32)
+        part *= np.uint64(parts)
+        part >>= np.uint64(32)
+        part = part.astype(np.uint16 if parts < 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        part, at, code = part[order], at[order], code[order].astype(np.uint32)
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        bounds = list(zip(first.tolist(), np.append(first[1:], len(part)).tolist(), strict=True))
+        name = xxhash.xxh64_intdigest(own.tobytes()) >> 1
+        idx = [np.bincount(at, minlength=len(own)).astype(np.int64).tobytes()] + [at[x:y].tobytes() for x, y in bounds]
+        value = [own.tobytes()] + [code[x:y].tobytes() for x, y in bounds]
+        part = np.append(-1 - name % parts, part[first].astype(np.int64))
+        arrays = [pa.array(np.full(len(part), name)), pa.array(part), pa.array(np.full(len(part), len(bounds))), pa.array(idx, pa.binary()), pa.array(value, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["slice", "part", "n", "idx", "value"])
+
+    for batch in slices(batches, "text"):
+        for start in range(0, batch.num_rows, 1 << 14):
+            some = batch.slice(start, 1 << 14)
+            texts = utf8(some.column("text"))
+            place, own = _features(Words(texts), texts)
+            doc.append((place + count).astype(np.uint16))
+            feature.append(own)
+            ids.append(some.column("doc_id").to_numpy())
+            count += len(texts)
+            if count > 1 << 15 or sum(map(len, feature)) >= PART // 2:
+                yield flush()
+                ids, doc, feature, count = [], [], [], 0
+    if count:
+        yield flush()
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """Of the rows of a part of _slices the features that occur twice or more, with the number, up to 255."""
+    if rows.column("part").slice(0, 1).to_pylist()[0] < 0:
+        return rows.append_column("often", pa.array([b""] * len(rows), pa.binary()))
+    bounds = np.cumsum([0] + [len(v) // 4 for v in rows.column("value").to_pylist()])
+    idx, value = _rows(rows.column("idx"), np.uint16, 1).ravel(), _rows(rows.column("value"), np.uint32, 1).ravel()
+    order = value.astype(np.uint64)
+    order <<= np.uint64(32)
+    order |= np.arange(len(value), dtype=np.uint64)
+    order.sort()
+    first = np.flatnonzero(np.append(True, np.diff(order >> np.uint64(32)) != 0))
+    size = np.diff(np.append(first, len(order)))
+    often = np.empty(len(value), np.uint8)
+    often[(order & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.repeat(np.minimum(size, 255), size)
+    kept = [x + np.flatnonzero(often[x:y] > 1) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    table_ = rows.select(["slice", "part", "n"])
+    for name, of in (("idx", idx), ("value", value), ("often", often)):
+        table_ = table_.append_column(name, pa.array([of[k].tobytes() for k in kept], pa.binary()))
+    return table_
+
+
+def _prefixes(rows: pa.Table, similar: float) -> pa.Table:
+    """(node, code, often) of the documents of a slice of which links are possible: codes of the features that some text
+    may have in common with it first, if all texts have theirs in order of frequency and code."""
+    part = rows.column("part").to_numpy()
+    head = np.flatnonzero(part < 0)
+    if len(head) != 1 or rows.column("n").to_pylist()[head[0]] != len(part) - 1:
+        raise RuntimeError("the documents came in another order when a lost task was done again")
+    node, size = (np.frombuffer(rows.column(c)[int(head[0])].as_py(), np.int64) for c in ("value", "idx"))
+    body = rows.filter(pa.array(part >= 0))
+    idx, value, often = (_rows(body.column(c), kind, 1).ravel() for c, kind in (("idx", np.uint16), ("value", np.uint32), ("often", np.uint8)))
+    code = np.repeat(part[part >= 0].astype(np.int64), [len(x) for x in body.column("often").to_pylist()]) << 32 | value.astype(np.int64)
+    alone = size - np.bincount(idx, minlength=len(node))  # come first, and have nothing to meet
+    room = size - np.ceil(size * similar - 1e-9).astype(np.int64) + 1 - alone
+    some = np.flatnonzero(room[idx] > 0)
+    some = some[np.lexsort((code[some], often[some], idx[some]))]
+    doc = idx[some]
+    some = some[np.arange(len(some)) - np.searchsorted(doc, doc) < room[doc]]
+    own, count = np.unique(idx[some], return_counts=True)
+    start = pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(start, pa.array(x)) for x in (code[some], often[some].astype(np.int32))]
+    return pa.table({"node": pa.array(node[own]), "code": lists[0], "often": lists[1]})
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """Distinct pairs (a, b) of nodes that share a code and differ in root; rows: (part, code, node, root)."""
+    code, node, root = (rows.column(c).to_numpy() for c in ("code", "node", "root"))
+    order = np.lexsort((node, code))
+    code, node, root = code[order], node[order], root[order]
+    found, k = [np.empty((0, 2), np.int64)], 1
+    at = np.arange(len(code) - k)
+    while len(at := at[at + k < len(code)]) and len(at := at[code[at] == code[at + k]]):
+        apart = at[root[at] != root[at + k]]
+        found.append(np.stack([node[apart + k], node[apart]], 1))
+        k += 1
+    pairs = np.concatenate(found)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))] if len(pairs) else pairs
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _missed(docs: DataFrame, nodes: DataFrame, roots: DataFrame, radius: int, similar: float) -> DataFrame:
+    """Pairs (a, b) of roots that join all nodes that are linked: of all pairs of nodes there are, whether they have met
+    in a shard or not, those of different roots are found by their prefixes, and compared by all features."""
+    parts = max(8, math.ceil((nodes.agg(F.sum("size")).first()[0] or 0) / PART))
+    some, needed = _chosen(docs, nodes.select(F.col("node").alias("doc_id")))
+    sent = some.mapInArrow(lambda batches: _slices(needed(slices(batches, "text")), parts), "slice long, part long, n long, idx binary, value binary")
+    shared = sent.groupBy("part").applyInArrow(_shared, "slice long, part long, n long, idx binary, value binary, often binary")
+    prefixes = shared.groupBy("slice").applyInArrow(lambda rows: _prefixes(rows, similar), "node long, code array<long>, often array<int>")
+    ends = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    prefixes = checkpointed(prefixes.join(ends, "node"))
+    rows = prefixes.select("node", "root", F.explode(F.arrays_zip("code", "often")).alias("at")).select("node", "root", "at.code", "at.often")
+    few = rows.where(F.col("often") < OFTEN).select(F.shiftright("code", 32).alias("part"), "code", "node", "root")
+    pairs = few.groupBy("part").applyInArrow(_met, "a long, b long").distinct()
+    sig = nodes.select("node", "sig")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = distance(_rows(batch.column("x"), np.uint64, 4), _rows(batch.column("y"), np.uint64, 4))
+            yield batch.select(["a", "b"]).filter(pa.array(far <= radius))
+
+    pairs = pairs.join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    pairs = checkpointed(pairs.mapInArrow(near, "a long, b long"))
+    if not pairs.isEmpty():
+        pairs = _exact(docs, pairs, similar).join(ends.toDF("a", "ra"), "a").join(ends.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    members = rows.where(F.col("often") >= OFTEN).select(F.col("code").alias("shard"), F.lit(0).cast("long").alias("tree"), "node", "root")
+    return pairs.unionByName(_rest(docs, nodes, checkpointed(members.distinct()), radius, similar))
+
+
 def _roots(docs: DataFrame, nodes: DataFrame, radius: int, similar: float, shard: int) -> DataFrame:
     """(node, root) of the nodes, computed, that are linked with a smaller one: root is the least of all linked."""
-    plan = _plan(nodes, shard)
-    found = checkpointed(edges(nodes, plan, radius, similar))
-    links = checkpointed(verified(docs, found, similar))
-    roots = components(links)
-    # groups in which links may be left: shards that were split, and trees of three nodes or more with an edge refused
-    hot = sorted(set().union(plan[2], *plan[1][:1]) & set(range(LAYOUTS * plan[0])))
-    group = ["shard", "tree"]
-    refused = found.where(F.col("alike") < similar + ABOVE).join(links, ["a", "b"], "left_anti").select(*group).distinct()
-    opened = found.groupBy(*group).count().where("count > 1").join(refused, group, "left_semi")
-    members = found.join(opened, group, "left_semi").select(*group, F.explode(F.array("a", "b")).alias("node")).distinct()
-    if hot:
-        split = nodes.mapInArrow(_router(plan[0], [], {}, ("node",)), "shard long, node long").where(F.col("shard").isin(hot))
-        members = members.unionByName(split.select((-1 - F.col("shard")).alias("shard"), F.lit(0).cast("long").alias("tree"), "node"))
-    members = members.join(roots, "node", "left")
-    members = checkpointed(members.select(*group, "node", F.coalesce("root", "node").alias("root")))
-    more = _rest(docs, nodes, members, radius, similar)
+    found = checkpointed(edges(nodes, _plan(nodes, shard), radius, similar))
+    roots = components(verified(docs, found, similar))
+    more = checkpointed(_missed(docs, nodes, roots, radius, similar))
     if more.isEmpty():
         return roots
     more = components(more)
@@ -551,8 +669,8 @@ def groups(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR, shar
 
 
 def _groups(docs: DataFrame, signs: DataFrame, radius: int, similar: float, shard: int) -> DataFrame:
-    grouped = signs.groupBy("sig", "sketch").agg(F.min("doc_id").alias("node"), F.min_by("least", "doc_id").alias("least"))
-    nodes = checkpointed(grouped.select("node", "sig", "sketch", "least"))
+    grouped = signs.groupBy("sig", "sketch").agg(F.min("doc_id").alias("node"), F.min_by("least", "doc_id").alias("least"), F.min_by("size", "doc_id").alias("size"))
+    nodes = checkpointed(grouped.select("node", "sig", "sketch", "least", "size"))
     roots = _roots(docs, nodes, radius, similar, shard)
     of = signs.join(nodes, ["sig", "sketch"]).select("doc_id", "node").join(roots, "node", "left")
     return of.select("doc_id", F.coalesce("root", "node").alias("keep")).where("doc_id <> keep")
@@ -575,7 +693,7 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR,
 def audit(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR, queries: int = 200) -> tuple[int, int]:
     """For queries chosen by hash, over all nodes: pairs that exact search finds, and those of them in one group."""
     signs = checkpointed(signed(docs))
-    nodes = checkpointed(signs.groupBy("sig", "sketch").agg(F.min("doc_id").alias("node"), F.min_by("least", "doc_id").alias("least")))
+    nodes = checkpointed(signs.groupBy("sig", "sketch").agg(F.min("doc_id").alias("node"), F.min_by("least", "doc_id").alias("least"), F.min_by("size", "doc_id").alias("size")))
     asked = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(queries).toArrow()
     node, sig, sketch = asked.column("node").to_numpy(), _rows(asked.column("sig"), np.uint64, 4), _rows(asked.column("sketch"), np.uint16, BINS)
 
@@ -586,7 +704,7 @@ def audit(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR, queri
                 other = part.column("node").to_numpy()
                 x, y = np.nonzero(distance(sig[:, None], _rows(part.column("sig"), np.uint64, 4)[None]) <= radius)
                 alike = similarity(sketch[x], _rows(part.column("sketch"), np.uint16, BINS)[y])
-                near = (node[x] != other[y]) & (alike >= similar - BELOW)
+                near = node[x] != other[y]
                 yield pa.RecordBatch.from_arrays([pa.array(node[x[near]]), pa.array(other[y[near]]), pa.array(alike[near])], names=["a", "b", "alike"])
 
     true = verified(docs, checkpointed(nodes.select("node", "sig", "sketch").mapInArrow(exact, "a long, b long, alike double")), similar)

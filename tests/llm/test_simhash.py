@@ -320,3 +320,47 @@ def test_blocks_hold_all_pairs_that_differ_in_root(spark, n, monkeypatch):
     root = lambda i: 0 if i % 3 else i
     for s in (1, 2):
         assert {(x, y) for x in range(0, n // s, 7) for y in range(x + 1, n // s) if root(x) != root(y)} <= seen[s]
+
+
+def test_pairs_that_never_meet_in_a_shard_are_linked(spark):
+    # of pairs similar by 0.52 some share none of the values that shards go by
+    texts = near_texts(1000, 0.52, seed=9)
+    docs = spark.createDataFrame(cases.rows(texts), cases.SCHEMA)
+    pair = {}
+    for r in docs.select("doc_id", "text").collect():
+        pair.setdefault(re.match(r"s(\d+)x", r.text)[1], []).append(r.doc_id)
+    sig, _ = S.signatures(pa.array(texts, pa.large_string()))
+    want = {max(p): min(p) for p in pair.values() if distance(sig[p[0]], sig[p[1]]) <= S.RADIUS}
+    of = {}
+    for r in S.routed(S.signed(docs).withColumnRenamed("doc_id", "node"), 8).collect():
+        of.setdefault(r.node, set()).add(r.shard)
+    assert any(not of[a] & of[b] for a, b in want.items()) and len(want) > 700
+    assert {r.doc_id: r.keep for r in S.groups(docs, shard=8).collect()} == want
+
+
+@pytest.mark.parametrize("often", [64, 2])
+def test_links_are_found_whole_without_any_shard(spark, often, monkeypatch):
+    monkeypatch.setattr(S, "OFTEN", often)
+    monkeypatch.setattr(S, "PART", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    first = docs.groupBy("text").agg({"doc_id": "min"}).toDF("text", "doc_id").orderBy("doc_id").collect()
+    sets, ids = [shingles(r.text) for r in first], [r.doc_id for r in first]
+    sig, _ = S.signatures(pa.array([r.text for r in first], pa.large_string()))
+    x, y = np.nonzero(distance(sig[:, None], sig[None]) <= S.RADIUS)
+    pairs = [(ids[a], ids[b]) for a, b in zip(x.tolist(), y.tolist(), strict=True) if a < b and len(sets[a] & sets[b]) >= S.SIMILAR * len(sets[a] | sets[b])]
+    nodes = S.signed(spark.createDataFrame([(r.doc_id, r.text) for r in first], "doc_id long, text string")).withColumnRenamed("doc_id", "node")
+    none = spark.createDataFrame([], "node long, root long")
+    got = S._missed(docs, S.checkpointed(nodes), none, S.RADIUS, S.SIMILAR).collect()
+    assert {tuple(sorted(r)) for r in got} <= {tuple(sorted(p)) for p in pairs} and len(pairs) > 50
+    assert groups_of(got, ids) == groups_of(pairs, ids)
+
+
+def test_slices_that_do_not_fit_together_raise():
+    docs = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a b c d e", "a b c d f", "x y z"]})
+    sent = pa.Table.from_batches(S._slices(iter([docs]), 4))
+    part = np.array(sent.column("part"))
+    shared = [S._shared(sent.filter(pa.array(part == p))) for p in np.unique(part)]
+    got = S._prefixes(pa.concat_tables(shared), 0.5).to_pylist()
+    assert [r["node"] for r in got] == [1, 2] and got[0]["code"] == got[1]["code"] and got[0]["often"] == [2]
+    with pytest.raises(RuntimeError):
+        S._prefixes(pa.concat_tables(shared[:-1]), 0.5)
