@@ -58,6 +58,16 @@ def normalize(v: Column) -> Column:
     return F.when(is_finite(v) & (magnitude(v) > 0), F.transform(_double(v), lambda x: x / F.nullif(magnitude(v), F.lit(0.0)))).otherwise(_double(v))
 
 
+def neighbour_cosines(rows: np.ndarray) -> np.ndarray:
+    """Cosines of rows with the next one, as dot / (length * length): exact but for the last step where sums are, so that
+    a cosine at a threshold falls on the same side as in SQL. 0 where there is no length, or a value is not finite."""
+    rows = np.asarray(rows, np.float64)
+    rows = np.where(np.isfinite(rows).all(1, keepdims=True), rows, 0)
+    norm = np.sqrt((rows * rows).sum(1))
+    lengths = norm[1:] * norm[:-1]
+    return np.divide((rows[1:] * rows[:-1]).sum(1), lengths, out=np.zeros_like(lengths), where=(lengths > 0) & np.isfinite(lengths))
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows of length 1; rows that are not finite or have no length are all 0."""
     rows = np.asarray(rows, np.float64)

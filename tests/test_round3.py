@@ -28,3 +28,22 @@ def test_markdown_sections_of_any_length(compared):
     got, want = compared("chunk_markdown", "conversations", "conv_id long, turn int, role string, text string", [(1, 0, "user", "short"), (1, 1, "assistant", long), (1, 2, "user", "x" * 2500)])
     assert got == want and len(got) == 3
     assert all(len(p.content) <= 2000 for p in chunking.markdown(f"## a\n\n{long}"))
+
+
+def test_semantic_breaks_at_a_cosine_of_just_the_threshold(compared):
+    # counts of a, e and i in parts that end with the word stop, so that their cosine is exactly 0.8
+    counts = [(a, e, i) for a in range(6) for e in range(6) for i in range(12)]
+    at = [(p, q) for p in counts for q in counts if 25 * (1 + sum(x * y for x, y in zip(p, q, strict=True))) ** 2 == 16 * (1 + sum(x * x for x in p)) * (1 + sum(x * x for x in q))]
+    part = lambda p: " ".join([*("z" + v * n for v, n in zip("aei", p, strict=True)), *["zz"] * 7])
+    rows = [(n, " ".join(map(part, (p, q, p, p))), "s", "en") for n, (p, q) in enumerate(at)]
+    got, want = compared("chunk_semantic", "documents", "doc_id long, text string, source string, lang string", rows)
+    assert len(at) > 50
+    assert got == want
+
+
+def test_neighbour_cosines_of_vectors_without_use():
+    from tessera.functions.vector import neighbour_cosines
+
+    rows = np.array([[3.0, 4.0], [4.0, 3.0], [0.0, 0.0], [1.0, np.nan], [1e200, 1e200], [1e200, 1.0]])
+    assert neighbour_cosines(rows).tolist() == [0.96, 0.0, 0.0, 0.0, 0.0]
+    assert neighbour_cosines(np.zeros((1, 5))).tolist() == []
