@@ -211,13 +211,13 @@ def _file_order():
     return Window.partitionBy("_path").orderBy("_i")
 
 
-def html_table(pages: DataFrame, id_: str = "page_id", html: str = "html", selectors: tuple[str, ...] = (), excluded: tuple[str, ...] = parse.EXCLUDED) -> DataFrame:
+def html_table(pages: DataFrame, id_: str = "page_id", html: str = "html", selectors: tuple[str, ...] = (), excluded: tuple[str, ...] = parse.EXCLUDED, unclosed: bool = True) -> DataFrame:
     """(id, title, content) of pages that are already in a table."""
     kind = pages.schema[id_].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [parse.page(t or "", selectors, excluded) for t in batch.column(1).to_pylist()]
+            got = [parse.page(t or "", selectors, excluded, unclosed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m["title"] for _, m in got], pa.string()), pa.array([c for c, _ in got], pa.string())], names=[id_, "title", "content"])
 
     return pages.select(id_, html).mapInArrow(run, f"{id_} {kind}, title string, content string")

@@ -47,3 +47,17 @@ def test_neighbour_cosines_of_vectors_without_use():
     rows = np.array([[3.0, 4.0], [4.0, 3.0], [0.0, 0.0], [1.0, np.nan], [1e200, 1e200], [1e200, 1.0]])
     assert neighbour_cosines(rows).tolist() == [0.96, 0.0, 0.0, 0.0, 0.0]
     assert neighbour_cosines(np.zeros((1, 5))).tolist() == []
+
+
+def test_html_references_without_a_semicolon(compared):
+    page = "<html><head><title>{0}</title></head><body><h1>{0}</h1><p>a&amp;b {0} c&lt;d&#39; x</p></body></html>"
+    rows = [(n, page.format(t)) for n, t in enumerate(("and&amp", "a &amp;&amp", "one &am", "x &lt y", "q &quot;z&quot", "&#39", "R&D", "&amp;lt", "a & b &"))]
+    got, want = compared("html_extract", "pages", "page_id long, html string", rows)
+    assert got == want
+
+
+def test_html_files_are_read_as_by_browsers():
+    from tessera.sources import parse
+
+    assert parse.page("<p>a &amp b &lt;</p>")[0] == "a & b <"
+    assert parse.page("<p>a &amp b &lt; &ampx; &eacute;</p>", unclosed=False)[0] == "a &amp b < &ampx; é"
