@@ -32,6 +32,12 @@ def _windows(documents: DataFrame, size: int, stride: int, id_: str, content: st
     return each.select("document_id", "chunk_index", "content", start.alias("start_offset"), F.least(start + size, F.col("n")).alias("end_offset"))
 
 
+def whole(documents: DataFrame, id_: str = "doc_id", content: str = "content") -> DataFrame:
+    """The trimmed text of each document as one chunk, whatever its length. Blank texts give none."""
+    text = documents.select(F.col(id_).alias("document_id"), F.lit(0).alias("chunk_index"), trimmed(F.col(content)).alias("content"))
+    return text.where(F.length("content") > 0).withColumn("start_offset", F.lit(0)).withColumn("end_offset", F.length("content"))
+
+
 def fixed_size(documents: DataFrame, size: int = 1000, overlap: int = 200, id_: str = "doc_id", content: str = "content") -> DataFrame:
     size = max(1, size)
     return _windows(documents, size, size - min(max(0, overlap), size - 1), id_, content)

@@ -61,3 +61,15 @@ def test_html_files_are_read_as_by_browsers():
 
     assert parse.page("<p>a &amp b &lt;</p>")[0] == "a & b <"
     assert parse.page("<p>a &amp b &lt; &ampx; &eacute;</p>", unclosed=False)[0] == "a &amp b < &ampx; é"
+
+
+def test_a_long_document_is_ingested_as_one_chunk(compared):
+    rows = [(1, "ering " * 40_000, "s", "en"), (2, "  ering and others ", "s", "en"), (3, " \n", "s", "en"), (4, "none", "s", "en")]
+    schema = "doc_id long, text string, source string, lang string"
+    got, want = compared("pipeline_counts", "documents", schema, rows)
+    assert got == want == [(3, 3)]
+
+
+def test_whole_documents_as_chunks(spark):
+    rows = spark.createDataFrame([(1, " a b　"), (2, ""), (3, None)], "doc_id long, content string")
+    assert [tuple(r) for r in chunking.whole(rows).collect()] == [(1, 0, "a b", 0, 3)]
