@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tessera.operators import chunking
 from tessera.plans.queries import ORACLES, QUERIES
@@ -73,3 +74,21 @@ def test_a_long_document_is_ingested_as_one_chunk(compared):
 def test_whole_documents_as_chunks(spark):
     rows = spark.createDataFrame([(1, " a b　"), (2, ""), (3, None)], "doc_id long, content string")
     assert [tuple(r) for r in chunking.whole(rows).collect()] == [(1, 0, "a b", 0, 3)]
+
+
+def _same_in_slices(strategy, **parameters):
+    """One batch of 3,000,000 characters and a longer text is handed on in slices that hold what its texts give one by one."""
+    from tessera.operators.chunking import python
+
+    texts = [f"{i} one two. Three.\n\nFour {i}. " * 100 for i in range(1000)] + [None, "", " ", "x y. " * 400_000, "end."]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    run = lambda t: python.STRATEGIES[strategy](t, **parameters)
+    out = list(python.chunked(run, iter([batch])))
+    lengths = [sum(len(texts[i]) for i in set(b.column(0).to_pylist())) for b in out]
+    assert len(out) >= 4 and sorted(lengths)[-2] <= python.HELD
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert rows == [(i, k, *p) for i, t in enumerate(texts) if t for k, p in enumerate(run(t))]
+
+
+def test_sentence_chunks_are_handed_on_in_slices():
+    _same_in_slices("sentence")
