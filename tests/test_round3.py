@@ -92,3 +92,7 @@ def _same_in_slices(strategy, **parameters):
 
 def test_sentence_chunks_are_handed_on_in_slices():
     _same_in_slices("sentence")
+
+
+def test_sentences_are_handed_on_in_slices():
+    _same_in_slices("sentence", target=1, overlap=0, least=0)
