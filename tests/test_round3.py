@@ -96,3 +96,7 @@ def test_sentence_chunks_are_handed_on_in_slices():
 
 def test_sentences_are_handed_on_in_slices():
     _same_in_slices("sentence", target=1, overlap=0, least=0)
+
+
+def test_paragraph_chunks_are_handed_on_in_slices():
+    _same_in_slices("paragraph")
