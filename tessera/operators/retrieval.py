@@ -85,12 +85,13 @@ def _one_batch(embeddings: DataFrame, asked: pa.Table, limit: int, id_: str, vec
 class BM25:
     """An inverted index as tables: lengths (id, length) and postings (id, term, tf).
 
-    An index just built still knows its tokens (id, tokens); a search then reads the texts once, without a shuffle, and
-    keeps what they hold of its terms. One that is written is searched by its postings, of which only the row groups of the terms are read.
+    An index just built still knows its tokens; a search then reads the texts once and keeps what they hold of its terms,
+    and only that is joined or shuffled. One that is written is searched by its postings, of which only the pages of the terms are read.
     """
 
-    def __init__(self, lengths: DataFrame, postings: DataFrame, id_: str, tokens: DataFrame | None = None):
-        self.lengths, self.postings, self.id, self.tokens = lengths, postings, id_, tokens
+    def __init__(self, lengths: DataFrame, postings: DataFrame, id_: str, by_row: Callable[..., DataFrame] | None = None):
+        """by_row: from columns over an array "tokens" to (id, those columns), a row for each chunk."""
+        self.lengths, self.postings, self.id, self.by_row = lengths, postings, id_, by_row
 
     @staticmethod
     def build(chunks: DataFrame, id_: str = "chunk_id", content: str = "content", min_length: int = 3, stop_words: bool = True) -> BM25:
@@ -102,15 +103,16 @@ class BM25:
         last = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i: ~F.get("t", i - 1).eqNullSafe(F.get("t", i)))
         counted = F.transform("ends", lambda e, k: F.struct(F.get("t", e - 1).alias("term"), (e - F.coalesce(F.get("ends", k - 1), F.lit(0))).cast("bigint").alias("tf")))
         postings = runs.where(F.size("t") > 0).select(id_, "t", last.alias("ends")).select(id_, F.explode(counted).alias("p")).select(id_, "p.term", "p.tf")
-        return BM25(lengths, postings, id_, tokens)
+        return BM25(lengths, postings, id_, lambda *columns: tokens.select(id_, *columns))
 
     def persist(self) -> BM25:
         return BM25(self.lengths.persist(), self.postings.persist(), self.id)
 
     def write(self, folder: str) -> BM25:
-        """The index as Parquet, postings sorted by term, so that a search reads the row groups of its terms."""
+        """The index as Parquet: a segment for each part of the chunks, sorted by term, so that a search reads the pages
+        of its terms. Nothing is shuffled."""
         self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
         return BM25.read(self.lengths.sparkSession, folder, self.id)
 
     @staticmethod
@@ -119,15 +121,17 @@ class BM25:
 
     def without(self, ids: DataFrame) -> BM25:
         left = lambda rows: rows.join(ids.select(self.id), self.id, "left_anti")
-        return BM25(left(self.lengths), left(self.postings), self.id, None if self.tokens is None else left(self.tokens))
+        return BM25(left(self.lengths), left(self.postings), self.id, None if self.by_row is None else lambda *columns: left(self.by_row(*columns)))
 
     def replaced(self, other: BM25) -> BM25:
         """This index with all rows of other, which come in the place of those with the same ids."""
         left = self.without(other.lengths.select(self.id))
-        return BM25(left.lengths.unionByName(other.lengths), left.postings.unionByName(other.postings), self.id)
+        known = left.by_row is not None and other.by_row is not None
+        by_row = (lambda *columns: left.by_row(*columns).unionByName(other.by_row(*columns))) if known else None
+        return BM25(left.lengths.unionByName(other.lengths), left.postings.unionByName(other.postings), self.id, by_row)
 
     def document_frequencies(self) -> DataFrame:
-        rows = self.postings if self.tokens is None else self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term"))
+        rows = self.postings if self.by_row is None else self.by_row(F.array_distinct("tokens").alias("terms")).select(F.explode("terms").alias("term"))
         return rows.groupBy("term").agg(F.count("*").alias("df"))
 
     def search(self, query: str, limit: int = 5, where: DataFrame | None = None, min_length: int = 3, stop_words: bool = True) -> DataFrame:
@@ -138,12 +142,12 @@ class BM25:
     def scored(self, query: str, where: DataFrame | None = None, min_length: int = 3, stop_words: bool = True) -> DataFrame:
         """search without a limit: all that hold a term."""
         times = Counter(query_terms(query, min_length, stop_words))
-        rows = self._by_postings(times) if self.tokens is None else self._by_tokens(times)
+        rows = self._by_postings(times) if self.by_row is None else self._by_tokens(times)
         return rows if where is None else rows.join(where.select(self.id), self.id, "left_semi")
 
     def _by_tokens(self, times: Mapping[str, int]) -> DataFrame:
         terms = list(times) or [""]
-        found = self.tokens.select(self.id, F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(*terms)).alias("found")).persist()
+        found = self.by_row(F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(*terms)).alias("found")).persist()
         tf = [term_frequency(F.lit(w), F.col("found")) for w in terms]
         known = [F.sum((x > 0).cast("bigint")).alias(f"df{i}") for i, x in enumerate(tf)]
         whole = found.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg("length"), F.lit(0.0))).alias("mean"), *known)

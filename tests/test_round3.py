@@ -100,3 +100,19 @@ def test_sentences_are_handed_on_in_slices():
 
 def test_paragraph_chunks_are_handed_on_in_slices():
     _same_in_slices("paragraph")
+
+
+WORDS = [(1, "apple pear apple"), (2, "pear plum"), (3, ""), (4, None), (5, "plum plum plum apple"), (6, "kiwi apple pear")]
+
+
+def test_a_written_index_is_a_sorted_segment_for_each_part(spark, tmp_path):
+    from tessera.operators.retrieval import BM25
+
+    built = BM25.build(spark.createDataFrame(WORDS, "id long, content string").repartition(3), "id")
+    written = built.write(str(tmp_path))
+    files = list(tmp_path.glob("postings/*.parquet"))
+    assert 2 <= len(files) <= 3
+    for f in files:
+        terms = [r[0] for r in duckdb.sql(f"SELECT term FROM '{f}'").fetchall()]
+        assert terms == sorted(terms) and len(terms) > 1
+    assert written.search("apple plum plum", 10).collect() == built.search("apple plum plum", 10).collect()
