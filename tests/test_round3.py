@@ -116,3 +116,18 @@ def test_a_written_index_is_a_sorted_segment_for_each_part(spark, tmp_path):
         terms = [r[0] for r in duckdb.sql(f"SELECT term FROM '{f}'").fetchall()]
         assert terms == sorted(terms) and len(terms) > 1
     assert written.search("apple plum plum", 10).collect() == built.search("apple plum plum", 10).collect()
+
+
+def test_a_replaced_index_is_searched_by_rows(spark):
+    from tessera.operators.retrieval import BM25
+
+    rows = lambda r: spark.createDataFrame(r, "id long, content string")
+    new = [(2, "apple apple"), (7, "plum kiwi"), (3, "kiwi")]
+    index = BM25.build(rows(WORDS), "id").replaced(BM25.build(rows(new), "id"))
+    assert index.by_row is not None
+    whole = BM25.build(rows([r for r in WORDS if r[0] not in (2, 3, 7)] + new), "id")
+    for query in ("apple plum plum", "kiwi", "none"):
+        assert index.search(query, 10).collect() == whole.search(query, 10).collect()
+    assert sorted(index.document_frequencies().collect()) == sorted(whole.document_frequencies().collect())
+    gone = index.without(rows([(7, "")]))
+    assert [r[0] for r in gone.search("kiwi", 10).collect()] == [3, 6]
