@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +29,13 @@ def hashed(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
 def embed_udf(make: Callable[[], Embedder], batch: int = 100):
     """A column function array<float> of texts; the embedder is made once for each worker, and fed in batches."""
 
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for texts in parts:
-            got: list[np.ndarray] = []
-            for at in range(0, len(texts), batch):
-                got.extend(np.asarray(model(texts.iloc[at : at + batch].fillna("").tolist()), np.float32))
-            yield pd.Series(got, index=texts.index)
+            # of a part only batch texts are held as Python strings
+            got = [to_arrow(np.asarray(model([t or "" for t in texts.slice(at, batch).to_pylist()]), np.float32)) for at in range(0, len(texts), batch)]
+            yield pa.concat_arrays(got) if got else to_arrow(np.zeros((0, 0), np.float32))
 
     return run
 

@@ -131,3 +131,26 @@ def test_a_replaced_index_is_searched_by_rows(spark):
     assert sorted(index.document_frequencies().collect()) == sorted(whole.document_frequencies().collect())
     gone = index.without(rows([(7, "")]))
     assert [r[0] for r in gone.search("kiwi", 10).collect()] == [3, 6]
+
+
+def test_embedders_get_a_batch_of_texts_at_a_time(spark):
+    from tessera.functions.embed import embed, hashed
+
+    def make():
+        def model(texts):
+            import sys
+
+            assert len(texts) <= 7 and all(type(t) is str for t in texts)
+            rows = sys._getframe(1).f_locals.get("texts")
+            assert type(rows).__module__.startswith("pyarrow")
+            return hashed(texts)
+
+        return model
+
+    texts = [f"word{i % 5} and more {i}" for i in range(50)] + [None, ""]
+    got = embed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, content string"), make=make, batch=7)
+    assert got.schema["vector"].dataType.simpleString() == "array<float>"
+    want = np.asarray(hashed([t or "" for t in texts]), np.float32)
+    assert [r.vector for r in got.orderBy("i").collect()] == want.tolist()
+    none = spark.createDataFrame([], "i long, content string")
+    assert embed(none).collect() == []
